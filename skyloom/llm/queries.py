@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe
+from skyloom.llm import bpe, fingerprints, knn, langid, mixing, quality, toxicity
 from skyloom.llm.common import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_products(table(spark, sf_dir, "embeddings"), k=20, scale=64.0)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(bpe.bpe_encode_decode(table(spark, sf_dir, "documents")))
 
@@ -24,9 +45,19 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents").withColumn("edits", middle_edit()))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op3_topk": op3_topk,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
+    "op6_mixing": op6_mixing,
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
+    "op9_language": op9_language,
 }
 
 SQL: dict[str, str] = {}
