@@ -134,8 +134,10 @@ class Scorer:
 def training_rows(docs: DataFrame, learn) -> DataFrame:
     """A bounded sample of labelled texts: up to TRAIN_TEXTS of each language, by a hash of doc_id."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("k", F.row_number().over(by)).filter(F.col("k") <= TRAIN_TEXTS).drop("k")
+    ids = labelled.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id"))
+    for keys in (["lang", F.pmod("h", F.lit(64))], ["lang"]):  # a frequent language is cut down in 64 parts first
+        by = Window.partitionBy(*keys).orderBy("h", "doc_id")
+        ids = ids.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= TRAIN_TEXTS).drop("k")
     text = F.encode("text", "UTF-8")
     size = F.octet_length("text")
     cuts = F.array(*(F.substring(text, (F.floor(F.greatest(size - WINDOW, F.lit(0)) * (k / max(1, TRAIN_WINDOWS - 1))) + 1).cast("int"), F.lit(WINDOW)) for k in range(TRAIN_WINDOWS)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, fingerprints, knn, langid, mixing, quality, toxicity
+from skyloom.llm import bpe, fingerprints, jaccard, knn, langid, mixing, quality, suffix_dedup, toxicity
 from skyloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_products(table(spark, sf_dir, "embeddings"), k=20, scale=64.0)
 
@@ -49,8 +53,14 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_jaccard": op2_jaccard,
     "op3_topk": op3_topk,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
@@ -58,6 +68,7 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
     "op9_language": op9_language,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 SQL: dict[str, str] = {}
