@@ -236,9 +236,10 @@ class CountTree:
     #: Code points beside an edit that can change pre-tokens: above the longest special token and contraction.
     CONTEXT = 16
 
-    def __init__(self, bpe: Bpe, text: str):
+    def __init__(self, bpe: Bpe, text: str, pieces: list[str] | None = None):
         self.bpe, self.reencoded = bpe, 0
-        pieces = bpe.pieces(text)
+        self.waiting: dict[int, list[str]] = {}  # pre-tokens of edited blocks that are not counted yet
+        pieces = bpe.pieces(text) if pieces is None else pieces
         ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         tokens = np.cumsum(bpe.counts(np.array(bpe.indices(pieces), np.int64)))
         self.pieces = len(pieces)
@@ -255,8 +256,16 @@ class CountTree:
                 sums[half // 2 : half] = sums[half : 2 * half].reshape(-1, 2).sum(1)
             half //= 2
 
+    def settle(self) -> None:
+        """Count the edited blocks and update the sums above them."""
+        for block, pieces in self.waiting.items():
+            tokens = int(self.bpe.counts(np.array(self.bpe.indices(pieces), np.int64)).sum()) if pieces else 0
+            self.add(self.tokens, block, tokens - int(self.tokens[block + self.size]))
+        self.waiting.clear()
+
     @property
     def total(self) -> int:
+        self.settle()
         return int(self.tokens[1])
 
     @property
@@ -276,21 +285,25 @@ class CountTree:
                 node = left + 1
         return node - self.size, start
 
-    def put(self, block: int, text: str, tokens: int) -> None:
-        self.texts[block] = text
+    def add(self, sums: np.ndarray, block: int, more: int) -> None:
         node = block + self.size
-        more, new = len(text) - self.chars[node], tokens - self.tokens[node]
         while node:
-            self.chars[node] += more
-            self.tokens[node] += new
+            sums[node] += more
             node //= 2
 
+    def put(self, block: int, text: str, pieces: list[str]) -> None:
+        self.texts[block] = text
+        self.add(self.chars, block, len(text) - int(self.chars[block + self.size]))
+        self.waiting[block] = pieces
+
     def edit(self, start: int, end: int, text: str) -> None:
         """Replace code points start to end (both within the text) by text."""
         start, end = max(0, min(start, self.length)), max(0, min(end, self.length))
         end = max(start, end)
         if not self.texts:
+            again = self.reencoded
             self.__init__(self.bpe, text)
+            self.reencoded = again + self.pieces
             return
         first, at = self.block_at(max(0, start - self.CONTEXT))
         last = self.block_at(min(self.length, end + self.CONTEXT))[0]
@@ -308,11 +321,9 @@ class CountTree:
             if not ahead or not region or ends[stop] == len(region):
                 break
             last = k - 1
-        own = pieces[: stop + 1] if region else []
-        tokens = int(self.bpe.counts(np.array(self.bpe.indices(own), np.int64)).sum()) if own else 0
-        self.put(first, region, tokens)
+        self.put(first, region, pieces[: stop + 1] if region else [])
         for block in range(first + 1, last + 1):
-            self.put(block, "", 0)
+            self.put(block, "", [])
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -332,12 +343,16 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
         for part in slices(batch, "text"):
             if len(bpe.index) > KEPT_WORDS:
                 bpe.forget()
-            for text, changes in zip(part.column("text").to_pylist(), part.column("edits").to_pylist(), strict=True):
-                tree = CountTree(bpe, text or "")
-                before, pieces = tree.total, tree.pieces
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            pieces = [bpe.pieces(t) for t in texts]
+            bpe.learn(chain.from_iterable(pieces))  # the words of all texts together
+            trees = [CountTree(bpe, t, p) for t, p in zip(texts, pieces, strict=True)]
+            before = [tree.total for tree in trees]
+            for tree, changes in zip(trees, part.column("edits").to_pylist(), strict=True):
                 for e in changes or ():
                     tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-                rows.append((before, tree.total, pieces, tree.reencoded))
+            bpe.learn(chain.from_iterable(p for tree in trees for p in tree.waiting.values()))
+            rows += [(n, tree.total, tree.pieces, tree.reencoded) for n, tree in zip(before, trees, strict=True)]
         cols = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_tokens", "edited_tokens", "n_pieces", "reencoded"])
 
