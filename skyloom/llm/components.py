@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import materialise
@@ -23,8 +23,11 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def _sign(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, with their number and a sum over them that tells whether they changed."""
+    seen = Observation()
+    kept = materialise(edges.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "edges")
+    return kept, tuple(seen.get.values())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -35,11 +38,9 @@ def components(links: DataFrame) -> DataFrame:
     nodes and no longer change. Every round is written to the shared folder.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    edges = materialise(edges, "edges")
-    sign = _sign(edges)
+    edges, sign = _written(edges)
     while sign[0]:
-        edges = materialise(small_star(large_star(edges)), "edges")
-        new = _sign(edges)
+        edges, new = _written(small_star(large_star(edges)))
         if new == sign:
             break
         sign = new

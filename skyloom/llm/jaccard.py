@@ -11,13 +11,13 @@ is the replication of boundary documents; two documents within the distance
 share a region. Copies are one document throughout.
 
 Small regions (nearly all) compare their documents locally. Large regions join
-recursively: a document of the region becomes its pivot, all distances to it
-are computed exactly, documents within the distance join the pivot's group,
-and a region whose documents are all in one group is done. After a few
-rounds, what is undecided in a region are pairs of different groups; the
-triangle inequality over the distances to the pivots drops those that cannot
-be near, and the rest are compared. Bounds of size and of a count sketch come
-before each exact comparison. No bound or window loses a link.
+recursively: documents of the region become its pivots, all distances to them
+are computed exactly, documents within the distance join a pivot's group, and
+a region whose documents are all in one group is done. What is undecided then
+are pairs of different groups; the triangle inequality over the distances to
+the pivots drops those that cannot be near, and the rest are compared. Bounds
+of size and of a count sketch come before each exact comparison. No bound or
+window loses a link.
 
 Defined cases: a document with fewer words than a shingle has its whole
 sequence as its shingle; one without words, or with a null text, has none and
@@ -30,7 +30,6 @@ Shingles and sets are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +51,9 @@ SAMPLE, FREQUENT = 16, 3
 FREQUENT_KEPT = 1_000_000
 #: Documents of a region that are compared locally without a pivot.
 SMALL_REGION = 24
-PIVOT_ROUNDS = 3
+#: Pivots of a large region, and documents of a block of it.
+PIVOTS = 2
+REGION_BLOCK = 4096
 
 
 def least_overlap(n: np.ndarray, near: tuple[int, int] = NEAR) -> np.ndarray:
@@ -231,6 +232,12 @@ def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long, common long, all long")
 
 
+def distinct_regions(large: DataFrame) -> DataFrame:
+    """One region of those that hold the same documents: the shingles of a passage have many."""
+    marks = large.groupBy("region").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.shiftright(F.xxhash64("key", F.lit(1)), 24)).alias("y"))
+    return large.join(marks.groupBy("n", "x", "y").agg(F.min("region").alias("region")).select("region"), "region", "left_semi")
+
+
 def near_groups(docs: DataFrame, width: int = WIDTH, near: tuple[int, int] = NEAR) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -241,71 +248,102 @@ def near_groups(docs: DataFrame, width: int = WIDTH, near: tuple[int, int] = NEA
     close = F.col("common") * near[1] >= F.col("all") * near[0]
 
     small = materialise(possible(local_pairs(found), nodes, near), "pairs")
-    large = found.filter("large").select("region", F.explode("members").alias("key")).distinct()
+    large = materialise(distinct_regions(found.filter("large").select("region", F.explode("members").alias("key")).distinct()), "large")
     wanted = small.select(F.col("a").alias("key")).union(small.select(F.col("b").alias("key"))).union(large.select("key")).distinct()
     wanted = wanted.join(nodes.select("key", "doc_id"), "key")
     # rows that repeat a doc_id may differ in text: a key may then have several texts, each is compared
     texts = materialise(docs.join(wanted, "doc_id").select("key", "text").distinct(), "texts")
 
-    # links first within small regions, then around the pivots of large ones
-    links = [materialise(overlaps(small, texts, width).filter(close).select("a", "b"), "links")]
-    tested: list[DataFrame] = []
     repeated = with_id.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b")
-    links.append(with_id.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("key").alias("b")).filter("a <> b"))
-    large = materialise(large, "large")
-    if not large.isEmpty():
-        for turn in range(PIVOT_ROUNDS):
-            group = components(reduce(DataFrame.union, links))
-            member = large.join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-            open_ = member.groupBy("region").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("pivot")).filter("c <> d")
-            star = member.join(open_.select("region", "pivot"), "region").filter("key <> pivot")
-            star = star.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-            if tested:
-                star = star.join(reduce(DataFrame.union, [t.select("a", "b") for t in tested]), ["a", "b"], "left_anti")
-            star = materialise(star, "star")
-            if star.isEmpty():
-                break
-            tested.append(materialise(overlaps(possible(star, nodes, near), texts, width), "tested"))
-            links.append(tested[-1].filter(close).select("a", "b"))
-        links.append(rest_of_large(large, links, tested, nodes, texts, width, near))
-    group = components(reduce(DataFrame.union, links))
-    least = nodes.select("key", F.col("doc_id").alias("first"))
-    of_node = least.join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    repeated = with_id.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("key").alias("b")).filter("a <> b")
+    # the small regions' pairs and the pivots of large ones are compared together
+    star = possible(pivot_pairs(large), nodes, near)
+    tested = materialise(overlaps(small.unionByName(star).distinct(), texts, width), "tested")
+    group = components(repeated.union(tested.filter(close).select("a", "b")))
+    rest = rest_of_large(large, group, tested, nodes, near)
+    links = materialise(overlaps(rest, texts, width).filter(close).select("a", "b"), "links")
+    if not links.isEmpty():
+        group = components(links.union(group.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    of_node = nodes.select("key", F.col("doc_id").alias("first")).join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = of_node.groupBy("component").agg(F.min("first").alias("component_id"))
     by_key = of_node.join(smallest, "component").select("key", "component_id")
-    sized = profile.select("doc_id", F.col("n").alias("n_shingles"), "key")
-    joined = sized.join(by_key, "key", "left")
+    joined = profile.select("doc_id", F.col("n").alias("n_shingles"), "key").join(by_key, "key", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def rest_of_large(large: DataFrame, links: list[DataFrame], tested: list[DataFrame], nodes: DataFrame, texts: DataFrame, width: int, near: tuple[int, int]) -> DataFrame:
-    """Links between different groups of large regions that the pivots left undecided.
+def pivot_pairs(large: DataFrame) -> DataFrame:
+    """Each document of a large region with the region's pivots, chosen by hashes of the documents."""
+    pivots = large.groupBy("region").agg(*(F.min_by("key", F.xxhash64("key", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)))
+    rows = large.join(pivots, "region").select("key", F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("pivot")).filter("key <> pivot")
+    return rows.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+
+
+def rest_of_large(large: DataFrame, group: DataFrame, tested: DataFrame, nodes: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """Pairs of different groups in large regions that may be near and were not compared.
 
-    A pair that shares a pivot p is dropped if |d(x, p) - d(y, p)| is above the
-    distance sought, or if both were compared already.
+    A region is cut into blocks and its pairs of blocks are looked at one by
+    one, in bounded memory, by sizes and sketches. Then triangle-inequality
+    windows: a pair goes if |d(x, p) - d(y, p)| is above the distance sought
+    for a pivot p that both were compared with.
     """
-    group = components(reduce(DataFrame.union, links))
     member = large.join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    open_ = member.groupBy("region").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c <> d").select("region")
-    rows = materialise(member.join(open_, "region", "left_semi"), "open")
-    empty = links[0].limit(0)
-    if rows.isEmpty():
-        return empty
-    # region members as distinct sets: many shingles of a passage have the same documents
-    x = rows.select("region", F.col("key").alias("a"), F.col("component").alias("c_a"))
-    y = rows.select("region", F.col("key").alias("b"), F.col("component").alias("c_b"))
-    pairs = x.join(y, "region").filter("a < b and c_a <> c_b").select("a", "b").distinct()
-    if tested:
-        all_tested = reduce(DataFrame.union, tested)
-        pairs = pairs.join(all_tested.select("a", "b"), ["a", "b"], "left_anti")
-        distance = 1 - F.col("common") / F.col("all")
-        to = all_tested.select(F.col("a").alias("p"), F.col("b").alias("key"), distance.alias("d")).union(all_tested.select(F.col("b"), F.col("a"), distance))
-        far = 1 - near[0] / near[1] + 1e-9
-        between = pairs.join(to.select(F.col("key").alias("a"), "p", F.col("d").alias("d_a")), "a").join(to.select(F.col("key").alias("b"), "p", F.col("d").alias("d_b")), ["b", "p"])
-        apart = between.filter(F.abs(F.col("d_a") - F.col("d_b")) > far).select("a", "b").distinct()
-        pairs = pairs.join(apart, ["a", "b"], "left_anti")
-    close = F.col("common") * near[1] >= F.col("all") * near[0]
-    return materialise(overlaps(possible(pairs, nodes, near), texts, width).filter(close).select("a", "b"), "links")
+    open_ = member.groupBy("region").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("size")).filter("c <> d")
+    rows = member.join(open_.select("region", "size"), "region").join(nodes.select("key", "n", "sketch"), "key")
+    blocks = F.ceil(F.col("size") / REGION_BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    dealt = rows.select("region", "i", "j", "key", "component", "n", "sketch", "own").repartition(partitions(large.sparkSession), "region", "i", "j").sortWithinPartitions("region", "i", "j", "key")
+
+    def pairs_of(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        key, comp, n, own_, i, j = (part.column(c).to_numpy() for c in ("key", "component", "n", "own", "i", "j"))
+        sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS).astype(np.int16)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(len(key) - 1):
+            ok = comp[k + 1 :] != comp[k]
+            if i[k] != j[k]:
+                ok &= own_[k + 1 :] != own_[k]
+            least = -(-(n[k] + n[k + 1 :]) * near[0] // (near[0] + near[1]))
+            ok &= least <= np.minimum(n[k], n[k + 1 :])
+            at = np.flatnonzero(ok) + k + 1
+            if len(at):
+                apart = np.abs(sketch[at] - sketch[k]).sum(1)
+                at = at[n[k] + n[at] - apart >= 2 * least[at - k - 1]]
+                left.append(np.minimum(key[k], key[at]))
+                right.append(np.maximum(key[k], key[at]))
+        return np.concatenate(left), np.concatenate(right)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            starts = group_starts(held)
+            for x, y in zip(starts[:-1], starts[1:], strict=True):
+                a, b = pairs_of(held.slice(x, y - x))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            held = held.slice(starts[-1])
+        if held is not None and held.num_rows:
+            a, b = pairs_of(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def group_starts(rows: pa.Table) -> list[int]:
+        region, i, j = (rows.column(c).to_numpy() for c in ("region", "i", "j"))
+        return [0, *(np.flatnonzero((region[1:] != region[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()]
+
+    pairs = dealt.mapInArrow(run, "a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    distance = 1 - F.col("common") / F.col("all")
+    far = 1 - near[0] / near[1] + 1e-9
+    to = tested.select(F.col("a").alias("p"), F.col("b").alias("key"), distance.alias("d")).union(tested.select(F.col("b"), F.col("a"), distance))
+    pairs = materialise(pairs, "rest")
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    to = to.join(ends, "key", "left_semi").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("p", "d"))).alias("to"))
+    a, b = to.select(F.col("key").alias("a"), F.col("to").alias("to_a")), to.select(F.col("key").alias("b"), F.col("to").alias("to_b"))
+    shared = F.array_intersect(F.map_keys("to_a"), F.map_keys("to_b"))
+    apart = F.exists(shared, lambda p: F.abs(F.element_at("to_a", p) - F.element_at("to_b", p)) > far)
+    return pairs.join(a, "a", "left").join(b, "b", "left").filter(~F.coalesce(apart, F.lit(False))).select("a", "b")
 
 
 def one_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
