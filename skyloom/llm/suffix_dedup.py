@@ -16,7 +16,8 @@ Later occurrences of a whole context need no comparison.
 
 An anchor with very many distinct contexts (a common short line in ever
 different surroundings) does not fit one suffix array; its windows are
-compared one by one by 128-bit hashes instead, sorted over the cluster.
+compared one by one by 128-bit hashes instead, sorted in the task, or over the
+cluster if there are more than CROWD contexts.
 
 Defined cases: a null text is empty; texts shorter than LENGTH keep all; rows
 without doc_id take no part and keep all; rows that repeat a doc_id are the
@@ -40,8 +41,11 @@ from skyloom.llm.common import map_arrow, materialise, partitions, slices, utf8
 LENGTH = 100
 #: Bytes of a gram.
 GRAM = 24
-#: Distinct contexts that one suffix array takes.
-MOST_CONTEXTS = 1000
+#: Distinct contexts that one suffix array takes, and that one task compares at all.
+MOST_CONTEXTS = 2000
+CROWD = 200_000
+#: Windows whose hashes a task sorts at a time.
+SORTED_WINDOWS = 2_000_000
 
 
 def gram_hashes(raw: np.ndarray, width: int) -> np.ndarray:
@@ -216,6 +220,46 @@ def removed_spans(contexts: list[tuple[bytes, int, int]], length: int) -> list[t
     return spans
 
 
+def window_hashes(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(two hashes, context number, offset) of all windows of the contexts."""
+    raw = np.frombuffer(b"".join(contexts), np.uint8)
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    per = np.maximum(sizes - length + 1, 0)
+    row = np.repeat(np.arange(len(sizes)), per)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+    at = (np.cumsum(sizes) - sizes)[row] + offset
+    h = words.hashes(raw, at, at + length, lower=False)
+    return h, words.hashes(raw ^ np.uint8(0xA5), at, at + length, lower=False), row, offset
+
+
+def crowded_spans(contexts: list[tuple[bytes, int, int]], length: int) -> list[tuple[int, int, int]]:
+    """As removed_spans, for too many contexts for one suffix array: hashes of windows, a share of them at a time."""
+    n_windows = sum(max(0, len(c[0]) - length + 1) for c in contexts)
+    shares = np.uint64(-(-n_windows // SORTED_WINDOWS))
+    doc, begin = np.array([c[1] for c in contexts], np.int64), np.array([c[2] for c in contexts], np.int64)
+    found = []
+    for share in range(int(shares)):
+        parts = []
+        for i in range(0, len(contexts), 5000):
+            h, g, row, offset = window_hashes([c[0] for c in contexts[i : i + 5000]], length)
+            own = h % shares == np.uint64(share)
+            row = row[own] + i
+            parts.append((h[own], g[own], doc[row], begin[row] + offset[own]))
+        h, g, d, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((s, d, g, h))
+        h, g, d, s = h[order], g[order], d[order], s[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        later = (d != d[head]) | (s != s[head])
+        found.append(np.stack([d[later], s[later]], 1))
+    at = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    if not len(at):
+        return []
+    breaks = np.flatnonzero((at[1:, 0] != at[:-1, 0]) | (at[1:, 1] > at[:-1, 1] + length))
+    first, last = np.concatenate([[0], breaks + 1]), np.append(breaks, len(at) - 1)
+    return list(zip(at[first, 0].tolist(), at[first, 1].tolist(), (at[last, 1] + length).tolist(), strict=True))
+
+
 def compare_contexts(rows: DataFrame, length: int) -> DataFrame:
     """Removed spans (doc_id, start, stop); contexts of crowded anchors come out with their bytes instead."""
 
@@ -236,7 +280,7 @@ def compare_contexts(rows: DataFrame, length: int) -> DataFrame:
                 crowd.append((head[1], head[2], head[0]))
             else:
                 own.append(head)
-                if len(own) > MOST_CONTEXTS:
+                if len(own) > CROWD:
                     crowd.extend((d, s, c) for c, d, s in own)
                     own, crowded = [], True
             head = None
@@ -245,7 +289,10 @@ def compare_contexts(rows: DataFrame, length: int) -> DataFrame:
             nonlocal own, crowded, pending
             close_context()
             # one context may still repeat within itself
-            pending += own
+            if len(own) > MOST_CONTEXTS:
+                spans.extend(crowded_spans(own, length))
+            else:
+                pending += own
             own, crowded = [], False
             if len(pending) > MOST_CONTEXTS:
                 spans.extend(removed_spans(pending, length))
@@ -289,15 +336,7 @@ def window_spans(crowded: DataFrame, length: int) -> DataFrame:
     """Removed spans of crowded contexts, by comparing the hashes of all their windows."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        contexts = batch.column("context").to_pylist()
-        raw = np.frombuffer(b"".join(contexts), np.uint8)
-        sizes = np.array([len(c) for c in contexts], np.int64)
-        per = np.maximum(sizes - length + 1, 0)
-        row = np.repeat(np.arange(len(sizes)), per)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
-        at = (np.cumsum(sizes) - sizes)[row] + offset
-        h = words.hashes(raw, at, at + length, lower=False)
-        g = words.hashes(raw ^ np.uint8(0xA5), at, at + length, lower=False)
+        h, g, row, offset = window_hashes(batch.column("context").to_pylist(), length)
         start = batch.column("start").to_numpy(zero_copy_only=False)[row] + offset
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), batch.column("doc_id").take(pa.array(row)), pa.array(start)], ["h", "g", "doc_id", "start"])
 

@@ -126,9 +126,11 @@ def brute_removed(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("most", [1000, 2])
-def test_suffix_dedup(docs, rows, monkeypatch, most):
+@pytest.mark.parametrize(("most", "crowd"), [(1000, 10**6), (2, 10**6), (2, 3)])
+def test_suffix_dedup(docs, rows, monkeypatch, most, crowd):
     monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", most)
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "SORTED_WINDOWS", 500)
     got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect()}
     assert got == brute_removed(rows)
 
