@@ -28,7 +28,7 @@ def compact_count(n: Column) -> Column:
     """Thousands separators below a million, else one decimal and an exponent: 4.5e8."""
     power = F.floor(F.log10(F.abs(n).cast("double")) + F.lit(1e-12)).cast("int")
     power = power + F.when(F.round(F.abs(n) / F.pow(F.lit(10.0), power), 1) >= 10, 1).otherwise(0)
-    large = F.concat(F.format_number(n / F.pow(F.lit(10.0), power), "0.0"), F.lit("e"), power.cast("string"))
+    large = F.concat(F.call_function("format_number", n / F.pow(F.lit(10.0), power), F.lit("0.0")), F.lit("e"), power.cast("string"))
     return F.when(F.abs(n) >= 1_000_000, large).otherwise(F.format_number(n, 0))
 
 

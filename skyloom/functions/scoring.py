@@ -28,7 +28,7 @@ def confidence(age_h: Column, perigee_km: Column) -> Column:
 
 
 def confidence_note(score: Column, age_h: Column, perigee_km: Column) -> Column:
-    c, a = F.format_number(score, "0.00"), F.format_number(age_h, "0")
+    c, a = (F.call_function("format_number", x, F.lit(pattern)) for x, pattern in ((score, "0.00"), (age_h, "0")))
 
     def fill(template: str) -> Column:
         before, rest = template.split("{c}")

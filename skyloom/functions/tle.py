@@ -110,8 +110,11 @@ def parse(records: DataFrame, now: Column) -> DataFrame:
     one, two = F.regexp_replace("line1", r"[\r\n]+$", ""), F.regexp_replace("line2", r"[\r\n]+$", "")
     n, e = fixed_float(F.col("line2"), 52, 63), F.concat(F.lit("0."), field(F.col("line2"), 26, 33)).try_cast("double")
     clean = records.withColumns({"name": name, "line1": one, "line2": two})
-    out = clean.select(
-        "*",
+    # the fields pass through a generator, which predicates on them are not rewritten across
+    fields = F.struct(
+        F.col("name"),
+        F.col("line1"),
+        F.col("line2"),
         field(F.col("line1"), 2, 7).alias("id_text"),
         F.substring("line1", 8, 1).alias("class_text"),
         field(F.col("line1"), 9, 17).alias("intl_designator"),
@@ -123,14 +126,18 @@ def parse(records: DataFrame, now: Column) -> DataFrame:
         fixed_float(F.col("line2"), 34, 42).alias("arg_perigee_deg"),
         fixed_float(F.col("line2"), 43, 51).alias("mean_anomaly_deg"),
         n.alias("mean_motion"),
+        checksum_ok(F.col("line1")).alias("ok1"),
+        checksum_ok(F.col("line2")).alias("ok2"),
     )
+    others = [c for c in records.columns if c not in ("name", "line1", "line2")]
+    out = clean.select(*others, F.inline(F.array(fields)))
     numbers = ("inclination_deg", "raan_deg", "arg_perigee_deg", "mean_anomaly_deg", "mean_motion")
     checks = [
         (F.length("name") == 0, "empty name"),
         ((F.length("line1") != 69) | (F.length("line2") != 69), "line length is not 69"),
         ((F.substring("line1", 1, 1) != "1") | (F.substring("line2", 1, 1) != "2"), "line number"),
-        (~checksum_ok(F.col("line1")), "line 1 checksum"),
-        (~checksum_ok(F.col("line2")), "line 2 checksum"),
+        (~F.col("ok1"), "line 1 checksum"),
+        (~F.col("ok2"), "line 2 checksum"),
         (F.col("id_text") != field(F.col("line2"), 2, 7), "catalogue numbers differ"),
         (F.col("id_text").try_cast("int").isNull(), "catalogue number is not a number"),
         (F.col("epoch").isNull(), "epoch"),
@@ -144,11 +151,12 @@ def parse(records: DataFrame, now: Column) -> DataFrame:
     for failed, what in checks:
         error = error.when(failed, what)
     good = F.col("mean_motion") > 0
-    return out.withColumn("parse_error", error).select(
-        "*",
+    derived = F.struct(
+        error.alias("parse_error"),
         F.col("id_text").try_cast("int").alias("norad_id"),
         F.when(F.trim("class_text") == "", "U").otherwise(F.col("class_text")).alias("classification"),
         F.when(good, perigee(F.col("mean_motion"), F.col("eccentricity"))).alias("perigee_km"),
         F.when(good, apogee(F.col("mean_motion"), F.col("eccentricity"))).alias("apogee_km"),
         age_hours(F.col("epoch"), now).alias("epoch_age_hours"),
-    ).drop("id_text", "class_text")
+    )
+    return out.select("*", F.inline(F.array(derived))).drop("id_text", "class_text", "ok1", "ok2")

@@ -43,7 +43,7 @@ OBJ = f"""obj AS (SELECT s_suppkey k, 10000 + s_suppkey norad_id,
 TYPE = "CASE WHEN {n} LIKE '% DEB' THEN 'DEBRIS' WHEN {n} LIKE '% R/B' THEN 'ROCKET_BODY' ELSE 'PAYLOAD' END"
 FAMILY = "CASE WHEN {n} LIKE 'STARLINK%' THEN 'STARLINK' WHEN {n} LIKE 'ONEWEB%' THEN 'ONEWEB' WHEN {n} LIKE 'GLOBALSTAR%' THEN 'GLOBALSTAR' WHEN {n} LIKE 'IRIDIUM%' THEN 'IRIDIUM' END"
 RADIUS = "CASE {c} WHEN 'SMALL' THEN 0.5::DOUBLE WHEN 'MEDIUM' THEN 2.5::DOUBLE WHEN 'LARGE' THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END"
-SUM69 = "(list_sum(list_transform(range(1, 69), i -> CASE WHEN substr({b}, i, 1) BETWEEN '0' AND '9' THEN CAST(substr({b}, i, 1) AS INT) WHEN substr({b}, i, 1) = '-' THEN 1 ELSE 0 END)) % 10)::INT"
+SUM69 = "(list_sum(list_transform(range(1, 69), lambda i: CASE WHEN substr({b}, i, 1) BETWEEN '0' AND '9' THEN CAST(substr({b}, i, 1) AS INT) WHEN substr({b}, i, 1) = '-' THEN 1 ELSE 0 END)) % 10)::INT"
 BODIES = """bodies AS (SELECT s_suppkey k,
   CASE s_suppkey % 5 WHEN 0 THEN 'STARLINK-' || s_suppkey WHEN 1 THEN 'ONEWEB-' || s_suppkey WHEN 2 THEN 'COSMOS ' || s_suppkey || ' DEB' WHEN 3 THEN 'SL-' || s_suppkey || ' R/B' ELSE 'SAT ' || s_suppkey END AS name,
   '1 ' || (10000 + s_suppkey) || 'U 24001A   ' || CASE WHEN s_suppkey % 7 = 0 THEN '98' ELSE '23' END || lpad(CAST(1 + (13 * s_suppkey) % 365 AS VARCHAR), 3, '0') || '.' || lpad(CAST((7919 * s_suppkey) % 100000000 AS VARCHAR), 8, '0') || '  .00001234  00000-0 ' || CASE WHEN s_suppkey % 3 = 0 THEN '-' ELSE ' ' END || (10000 + (37 * s_suppkey) % 90000) || '-4 0  999' body1,
@@ -490,8 +490,8 @@ def upsert_last_wins(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT o_orderkey id, o_orderdate at, o_custkey % 17 n FROM orders), new AS (SELECT -1 id, max(at) + INTERVAL 400 MILLISECOND at, 99 n FROM r),
- hit AS (SELECT r.id FROM r, new WHERE abs(epoch_ms(r.at) - epoch_ms(new.at)) < 1000 ORDER BY abs(epoch_ms(r.at) - epoch_ms(new.at)), r.id LIMIT 1)
+    """WITH r AS (SELECT o_orderkey id, o_orderdate s, o_custkey % 17 n FROM orders), new AS (SELECT -1 id, max(s) + INTERVAL 400 MILLISECOND s, 99 n FROM r),
+ hit AS (SELECT r.id FROM r, new WHERE abs(epoch_ms(r.s) - epoch_ms(new.s)) < 1000 ORDER BY abs(epoch_ms(r.s) - epoch_ms(new.s)), r.id LIMIT 1)
  SELECT id::BIGINT id, (CASE WHEN id IN (SELECT id FROM hit) THEN 99 ELSE n END)::BIGINT events_found FROM r"""
 )
 def upsert_run(spark, sf_dir):
@@ -537,7 +537,7 @@ def straight_line_geometry(spark, sf_dir):
 
 
 @query(
-    """WITH x AS (SELECT event_id, epoch(ts)::BIGINT - epoch(TIMESTAMP '2024-01-15 12:30:00')::BIGINT s FROM events), y AS (SELECT *, abs(s) // 86400 d, abs(s) % 86400 // 3600 h, abs(s) % 3600 // 60 m FROM x),
+    """WITH x AS (SELECT event_id, floor(epoch(ts))::BIGINT - epoch(TIMESTAMP '2024-01-15 12:30:00')::BIGINT s FROM events), y AS (SELECT *, abs(s) // 86400 d, abs(s) % 86400 // 3600 h, abs(s) % 3600 // 60 m FROM x),
  z AS (SELECT *, CASE WHEN d > 0 THEN d || 'd ' || h || 'h' WHEN h > 0 THEN h || 'h ' || m || 'm' WHEN m > 0 THEN m || 'm' ELSE '<1m' END core FROM y) SELECT event_id, CASE WHEN s < 0 THEN core || ' ago' ELSE 'in ' || core END AS label FROM z"""
 )
 def relative_label(spark, sf_dir):
