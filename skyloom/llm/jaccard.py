@@ -52,7 +52,7 @@ FREQUENT_KEPT = 1_000_000
 #: Documents of a region that are compared locally without a pivot.
 SMALL_REGION = 24
 #: Pivots of a large region, and documents of a block of it.
-PIVOTS = 2
+PIVOTS = 6
 REGION_BLOCK = 4096
 
 
@@ -220,11 +220,13 @@ def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                 for part in slices(half, "text_b", 2 << 20):
                     both = []
                     for side in ("text_a", "text_b"):
-                        doc, h = words.shingles(*utf8(part.column(side)), width)
-                        both.append((h, np.searchsorted(doc, np.arange(part.num_rows + 1)).tolist()))
-                    (x, at), (y, bt) = both
-                    common = np.array([len(np.intersect1d(x[at[k] : at[k + 1]], y[bt[k] : bt[k + 1]], assume_unique=True)) for k in range(part.num_rows)], np.int64)
-                    union = np.diff(at) + np.diff(bt) - common
+                        texts_of = part.column(side).dictionary_encode()  # a pivot's text stands in many pairs
+                        doc, h = words.shingles(*utf8(texts_of.dictionary), width)
+                        at = np.searchsorted(doc, np.arange(len(texts_of.dictionary) + 1))
+                        sets = [h[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                        both.append([sets[i] for i in texts_of.indices.to_pylist()])
+                    common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*both, strict=True)], np.int64)
+                    union = np.array([len(x) + len(y) for x, y in zip(*both, strict=True)], np.int64) - common
                     yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(common), pa.array(union)], ["a", "b", "common", "all"])
 
     a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
