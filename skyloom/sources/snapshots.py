@@ -37,7 +37,8 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
         return spark.createDataFrame([], "path string, file_name string, raw string, grp string, fetched_at timestamp")
     files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.tle").text(folder)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("raw"))
-    return parse_names(files).orderBy("fetched_at")
+    # the text must be read even for a count: with no column asked for, Spark counts lines, not files
+    return parse_names(files.filter(F.length("raw") >= 0)).orderBy("fetched_at")
 
 
 def newest(files: DataFrame) -> DataFrame:
