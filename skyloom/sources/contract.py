@@ -41,7 +41,7 @@ def violations(raw: Column | None = None) -> Column:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Events of a JSON array file, all checked; any violation raises with all of them named."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("value"))
+    text = spark.read.text(path, wholetext=True).select(F.col("value"))
     items = text.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "raw"))
     rows = items.select("pos", "raw", F.from_json("raw", EVENT_SCHEMA).alias("e")).select("pos", "raw", "e.*")
     checked = rows.withColumn("bad", violations(F.col("raw")))

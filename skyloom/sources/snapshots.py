@@ -35,10 +35,9 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
         return spark.createDataFrame([], "path string, file_name string, raw string, grp string, fetched_at timestamp")
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.tle").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.tle").text(folder, wholetext=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("raw"))
-    # the text must be read even for a count: with no column asked for, Spark counts lines, not files
-    return parse_names(files.filter(F.length("raw") >= 0)).orderBy("fetched_at")
+    return parse_names(files).orderBy("fetched_at")
 
 
 def newest(files: DataFrame) -> DataFrame:
@@ -93,7 +92,7 @@ def choose_snapshot(spark: SparkSession, folder: str, group: str, now: datetime,
 
 def load_catalog(spark: SparkSession, path: str, now: Column, rcs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(objects, parsed) of one snapshot file; a server message instead of records raises."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.lit(path).alias("path"), F.col("value").alias("raw"))
+    raw = spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("raw"))
     raw = raw.withColumn("raw", F.when(is_diagnostic(F.col("raw")), F.raise_error(F.lit("the snapshot is a server message"))).otherwise(F.col("raw")))
     parsed = tle.parse(split_records(raw), now)
     return first_of(build_objects(parsed), "norad_id", "epoch", "tle_line1") if rcs is None else build_objects(parsed, rcs), parsed
