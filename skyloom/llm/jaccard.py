@@ -52,7 +52,7 @@ FREQUENT_KEPT = 1_000_000
 #: Documents of a region that are compared locally without a pivot.
 SMALL_REGION = 24
 #: Pivots of a large region, and documents of a block of it.
-PIVOTS = 6
+PIVOTS = 4
 REGION_BLOCK = 4096
 
 
@@ -275,21 +275,38 @@ def near_groups(docs: DataFrame, width: int = WIDTH, near: tuple[int, int] = NEA
 
 
 def pivot_pairs(large: DataFrame) -> DataFrame:
-    """Each document of a large region with the region's pivots, chosen by hashes of the documents."""
-    pivots = large.groupBy("region").agg(*(F.min_by("key", F.xxhash64("key", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)))
-    rows = large.join(pivots, "region").select("key", F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("pivot")).filter("key <> pivot")
+    """Each document of a large region with the region's pivots.
+
+    A good pivot is central: the text that others are copies of stands in more
+    of their common regions than any copy, which has lost some shingles. So the
+    documents are dealt into PIVOTS parts by a hash, and of each part the one
+    that stands in most regions is a pivot.
+    """
+    rows = ranked(large).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PIVOTS)))
+    pivots = rows.groupBy("region").agg(*(F.max_by(F.when(F.col("part") == k, F.col("key")), F.when(F.col("part") == k, F.col("rank"))).alias(f"p{k}") for k in range(PIVOTS)))
+    rows = large.join(pivots, "region").select("key", F.explode(F.array_compact(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("pivot")).filter("key <> pivot")
     return rows.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
 
 
+def ranked(large: DataFrame) -> DataFrame:
+    """Rows of large regions with how central the document is: in how many regions it stands."""
+    central = large.groupBy("key").agg(F.count("*").alias("in_regions"))
+    return large.join(central, "key").withColumn("rank", F.struct("in_regions", F.xxhash64("key", F.lit(1)))).drop("in_regions")
+
+
 def rest_of_large(large: DataFrame, group: DataFrame, tested: DataFrame, nodes: DataFrame, near: tuple[int, int]) -> DataFrame:
     """Pairs of different groups in large regions that may be near and were not compared.
 
-    A region is cut into blocks and its pairs of blocks are looked at one by
+    Regions with the same central document hold much the same documents; they
+    become one cell around it, so that a pair comes out once and not in each.
+    A cell is cut into blocks and its pairs of blocks are looked at one by
     one, in bounded memory, by sizes and sketches. Then triangle-inequality
     windows: a pair goes if |d(x, p) - d(y, p)| is above the distance sought
     for a pivot p that both were compared with.
     """
-    member = large.join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    centres = ranked(large).groupBy("region").agg(F.max_by("key", "rank").alias("centre"))
+    cells = large.join(centres, "region").select(F.col("centre").alias("region"), "key").distinct()
+    member = cells.join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     open_ = member.groupBy("region").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("size")).filter("c <> d")
     rows = member.join(open_.select("region", "size"), "region").join(nodes.select("key", "n", "sketch"), "key")
     blocks = F.ceil(F.col("size") / REGION_BLOCK).cast("int")

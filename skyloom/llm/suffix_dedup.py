@@ -86,7 +86,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
 def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 h, doc, start, size = anchors(*utf8(part.column("text")), length, gram)
                 ids = part.column("doc_id").take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array(start, pa.int64()), pa.array(size, pa.int32())], ["anchor", "doc_id", "start", "size"])
