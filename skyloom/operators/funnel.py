@@ -144,6 +144,50 @@ def cell_pairs(states: DataFrame, threshold_km: float) -> DataFrame:
     return near.groupBy(*PAIR).agg(F.sqrt(F.min("d2")).alias("min_separation_km"))
 
 
+def orbit_path_filter(pairs: DataFrame, elements: DataFrame, reach_km: float) -> DataFrame:
+    """Pairs whose orbits as fixed ellipses may come within reach_km of each other.
+
+    elements: norad_id, perigee_km, apogee_km, inclination_deg, raan_deg,
+    arg_perigee_deg. Points of two orbits that are near each other are near
+    both planes, so both stand within an arc around the planes' common line;
+    a pair goes only if the radii over these arcs stay apart on both sides of
+    the line. It never drops orbits that meet; precession is not in it.
+    """
+    el = elements.select(
+        "norad_id",
+        *((F.col(c) * F.pi() / 180).alias(n) for c, n in (("inclination_deg", "i"), ("raan_deg", "o"), ("arg_perigee_deg", "w"))),
+        (F.col("perigee_km") + EARTH_RADIUS_KM).alias("rp"),
+        (F.col("apogee_km") + EARTH_RADIUS_KM).alias("ra"),
+    ).withColumns({"nx": F.sin("o") * F.sin("i"), "ny": -F.cos("o") * F.sin("i"), "nz": F.cos("i")})
+    a, b = (el.select(*(F.col(c).alias(f"{c}_{s}") for c in el.columns)) for s in "ab")
+    rows = pairs.join(a, F.col("primary_norad_id") == F.col("norad_id_a")).join(b, F.col("secondary_norad_id") == F.col("norad_id_b"))
+    na, nb = (tuple(F.col(f"n{c}_{s}") for c in "xyz") for s in "ab")
+    line = (na[1] * nb[2] - na[2] * nb[1], na[2] * nb[0] - na[0] * nb[2], na[0] * nb[1] - na[1] * nb[0])
+    rows = rows.withColumns({"lx": line[0], "ly": line[1], "lz": line[2]}).withColumn("tilt", F.sqrt(F.col("lx") * F.col("lx") + F.col("ly") * F.col("ly") + F.col("lz") * F.col("lz")))
+
+    def radii(s: str, side: int) -> tuple[Column, Column]:
+        """Least and greatest radius over the arc of orbit s around one end of the common line."""
+        node_x, node_y = F.cos(f"o_{s}"), F.sin(f"o_{s}")
+        along = side * (F.col("lx") * node_x + F.col("ly") * node_y)
+        # the in-plane axis a quarter turn ahead of the node
+        ahead = side * (-F.col("lx") * F.cos(f"i_{s}") * node_y + F.col("ly") * F.cos(f"i_{s}") * node_x + F.col("lz") * F.sin(f"i_{s}"))
+        anomaly = F.atan2(ahead, along) - F.col(f"w_{s}")
+        ratio = reach_km / (F.col(f"rp_{s}") * F.col("tilt"))
+        arc = F.when((F.col("tilt") > 0) & (ratio < 1), F.asin(F.least(ratio, F.lit(1.0)))).otherwise(F.pi())
+        rp, ra = F.col(f"rp_{s}"), F.col(f"ra_{s}")
+        e, p = (ra - rp) / (ra + rp), 2 * ra * rp / (ra + rp)
+        off = F.abs(anomaly - 2 * F.pi() * F.round(anomaly / (2 * F.pi())))  # from perigee, 0 to pi
+        low = p / (1 + e * F.cos(F.greatest(F.lit(0.0), off - arc)))
+        high = p / (1 + e * F.cos(F.least(F.pi(), off + arc)))
+        return low, high
+
+    apart = []
+    for side in (1, -1):
+        (low_a, high_a), (low_b, high_b) = radii("a", side), radii("b", side)
+        apart.append((low_a - high_b > reach_km) | (low_b - high_a > reach_km))
+    return rows.filter(~(apart[0] & apart[1])).select(*PAIR)
+
+
 def coarse_filter(objects: DataFrame, states: DataFrame, threshold_km: float, margin_km: float = BAND_MARGIN_KM) -> DataFrame:
     """Band prefilter, then the cells; pairs with their least sampled distance."""
     return cell_pairs(states, threshold_km).join(margin_pairs(objects, margin_km), list(PAIR), "left_semi")

@@ -243,6 +243,14 @@ def spatial_cells(spark, sf_dir):
     return funnel.cell_pairs(states(spark, sf_dir), 200.0).withColumn("min_separation_km", F.round("min_separation_km", 4))
 
 
+@query(
+    f"""WITH {STATES}, c AS (SELECT a.norad_id pid, b.norad_id sid, sqrt(min((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) d FROM xyz a JOIN xyz b ON a.step = b.step AND a.norad_id < b.norad_id GROUP BY ALL)
+ SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, round(d, 4) min_separation_km FROM c JOIN obj a ON a.norad_id = pid JOIN obj b ON b.norad_id = sid WHERE d <= 300 AND {BAND.format(p="25")}"""
+)
+def coarse_filter(spark, sf_dir):
+    return funnel.coarse_filter(synthetic.objects(spark, sf_dir), states(spark, sf_dir), 300.0).withColumn("min_separation_km", F.round("min_separation_km", 4))
+
+
 @query(f"WITH {CHORD} SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, step::INT step, round(sqrt(bound2), 3) bound_km FROM bound")
 def chord_bound(spark, sf_dir):
     return funnel.chord_bound(relative(spark, sf_dir)).select("primary_norad_id", "secondary_norad_id", "step", F.round(F.sqrt("bound2"), 3).alias("bound_km"))
@@ -636,6 +644,12 @@ def ground_track(spark, sf_dir):
     return screening.ground_track(parsed(spark, sf_dir), EPOCH_2024, 24.0)
 
 
+@query()
+def orbit_paths(spark, sf_dir):
+    p = parsed(spark, sf_dir).filter("parse_error is null")
+    return funnel.orbit_path_filter(funnel.band_pairs(p), p, 100.0)
+
+
 EPOCH_2024 = 1704067200.0
 
 

@@ -103,3 +103,23 @@ def test_fine_screen_finds_what_a_finer_grid_finds(spark):
 
 def test_chord_pads():
     assert funnel.chord_pad_km(60) == 12 and funnel.chord_pad_km(300) == 240 and abs(funnel.chord_pad_km(120) - 48) < 1e-9
+
+
+def test_orbit_paths_never_drop_orbits_that_meet(spark):
+    rng = np.random.default_rng(12)
+    n, reach = 40, 60.0
+    peri = 400 + 500 * rng.random(n)
+    rows = [(k, float(peri[k]), float(peri[k] + 600 * rng.random() * (k % 3)), float(180 * rng.random()) if k % 5 else 50.0, float(360 * rng.random()) if k % 5 else 10.0, float(360 * rng.random())) for k in range(n)]
+    el = spark.createDataFrame(rows, "norad_id int, perigee_km double, apogee_km double, inclination_deg double, raan_deg double, arg_perigee_deg double")
+    pairs = spark.createDataFrame([(i, j) for i in range(n) for j in range(i + 1, n)], "primary_norad_id int, secondary_norad_id int")
+    kept = {tuple(r) for r in funnel.orbit_path_filter(pairs, el, reach).collect()}
+    nu = np.linspace(0, 2 * np.pi, 721)
+    path = []
+    for _, p, a, i, o, w in rows:
+        rp, ra = p + 6378.137, a + 6378.137
+        e = (ra - rp) / (ra + rp)
+        r, u = rp * (1 + e) / (1 + e * np.cos(nu)), nu + np.deg2rad(w)
+        i, o = np.deg2rad(i), np.deg2rad(o)
+        path.append(np.stack([r * (np.cos(o) * np.cos(u) - np.sin(o) * np.sin(u) * np.cos(i)), r * (np.sin(o) * np.cos(u) + np.cos(o) * np.sin(u) * np.cos(i)), r * np.sin(u) * np.sin(i)], 1))
+    meet = {(i, j) for i in range(n) for j in range(i + 1, n) if np.sqrt(((path[i][:, None] - path[j][None]) ** 2).sum(2)).min() < reach}
+    assert meet and meet <= kept and len(kept) < 0.9 * n * (n - 1) / 2
