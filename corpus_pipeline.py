@@ -17,8 +17,8 @@ from skyloom.llm.common import crc_mod, materialise, table
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told (no text, no letter) go; a missing lang is filled in."""
     net = langid.fit(docs.withColumn("doc_id", F.col("doc_id").cast("long")), crc_mod(F.col("doc_id"), 3) != 1)
-    told = langid.identify(docs, net, tuple(docs.columns)).filter(F.col("lang_pred") != langid.UNDETERMINED)
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    told = langid.identify(docs, net, tuple(docs.columns), ("_told", "_score")).filter(F.col("_told") != langid.UNDETERMINED)
+    return told.withColumn("lang", F.coalesce("lang", "_told")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +33,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them. Documents without words are not part of it."""
-    taken = mixing.mix(docs).groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
-    by = taken.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), "copies")
-    joined = docs.join(by, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")))
-    return joined.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    taken = mixing.mix(docs).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
+    by = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), "_copies")
+    joined = docs.join(by, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_of")))
+    return joined.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

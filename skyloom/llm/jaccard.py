@@ -50,9 +50,9 @@ SLOTS = 128
 SAMPLE, FREQUENT = 16, 3
 FREQUENT_KEPT = 1_000_000
 #: Documents of a region that are compared locally without a pivot.
-SMALL_REGION = 24
+SMALL_REGION = 6
 #: Pivots of a large region, and documents of a block of it.
-PIVOTS = 4
+PIVOTS = 2
 REGION_BLOCK = 4096
 
 
@@ -121,7 +121,11 @@ def profiles(docs: DataFrame, width: int, near: tuple[int, int]) -> DataFrame:
 
 
 def regions(profile: DataFrame) -> DataFrame:
-    """Regions of two or more keys: (region, members), large ones in several rows marked large."""
+    """Regions of two or more keys: (region, members, kind).
+
+    kind is 0 for a small region, 1 for a large one in one row, and 2 for rows
+    of a region that is too large for one.
+    """
     spark = profile.sparkSession
     rows = profile.filter(F.col("boundary").isNotNull()).select(F.explode("boundary").alias("region"), "key")
     dealt = rows.repartition(partitions(spark), "region").sortWithinPartitions("region", "key")
@@ -141,37 +145,37 @@ def regions(profile: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
             ends = np.append(starts[1:], len(region))
             done = len(starts) if last else len(starts) - 1
-            ids, members, large = [], [], []
+            ids, members, kinds = [], [], []
             for i, j in zip(starts[:done].tolist(), ends[:done].tolist(), strict=True):
-                big = open_large == region[i] or j - i > SMALL_REGION
-                if j - i > 1 or big:
+                part = open_large == region[i]
+                if j - i > 1 or part:
                     ids.append(int(region[i]))
                     members.append(key[i:j])
-                    large.append(big)
+                    kinds.append(2 if part else int(j - i > SMALL_REGION))
             rest = starts[-1] if done < len(starts) else len(region)
             if not last and len(region) - rest > 4096:
                 # the open region is large: send what is there, keep its last key to drop repeats
                 ids.append(int(region[rest]))
                 members.append(key[rest:-1])
-                large.append(True)
+                kinds.append(2)
                 open_large = region[rest]
                 rest = len(region) - 1
-            return ids, members, large, region[rest:], key[rest:]
+            return ids, members, kinds, region[rest:], key[rest:]
 
-        def batch_of(ids, members, large):
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(large, pa.bool_())], ["region", "members", "large"])
+        def batch_of(ids, members, kinds):
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(kinds, pa.int32())], ["region", "members", "kind"])
 
         for batch in batches:
             region = np.concatenate([held_region, batch.column("region").to_numpy(zero_copy_only=False)])
             key = np.concatenate([held_key, batch.column("key").to_numpy(zero_copy_only=False)])
-            ids, members, large, held_region, held_key = cut(region, key, False)
+            ids, members, kinds, held_region, held_key = cut(region, key, False)
             if ids:
-                yield batch_of(ids, members, large)
-        ids, members, large, _, _ = cut(held_region, held_key, True)
+                yield batch_of(ids, members, kinds)
+        ids, members, kinds, _, _ = cut(held_region, held_key, True)
         if ids:
-            yield batch_of(ids, members, large)
+            yield batch_of(ids, members, kinds)
 
-    return dealt.mapInArrow(run, "region long, members array<long>, large boolean")
+    return dealt.mapInArrow(run, "region long, members array<long>, kind int")
 
 
 def local_pairs(found: DataFrame) -> DataFrame:
@@ -191,7 +195,7 @@ def local_pairs(found: DataFrame) -> DataFrame:
         pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    members = found.filter(~F.col("large")).select("members").distinct()
+    members = found.filter("kind = 0").select("members").distinct()
     return map_arrow(members, one, "a long, b long").distinct()
 
 
@@ -234,10 +238,14 @@ def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long, common long, all long")
 
 
-def distinct_regions(large: DataFrame) -> DataFrame:
-    """One region of those that hold the same documents: the shingles of a passage have many."""
-    marks = large.groupBy("region").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.shiftright(F.xxhash64("key", F.lit(1)), 24)).alias("y"))
-    return large.join(marks.groupBy("n", "x", "y").agg(F.min("region").alias("region")).select("region"), "region", "left_semi")
+def large_regions(found: DataFrame) -> DataFrame:
+    """(region, key) of the large regions, one region of those that hold the same documents.
+
+    The shingles of a passage have many such regions.
+    """
+    whole = found.filter("kind = 1").groupBy("members").agg(F.min("region").alias("region"))
+    parts = found.filter("kind = 2").select("members", "region")
+    return whole.unionByName(parts).select("region", F.explode("members").alias("key")).distinct()
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, near: tuple[int, int] = NEAR) -> DataFrame:
@@ -250,11 +258,11 @@ def near_groups(docs: DataFrame, width: int = WIDTH, near: tuple[int, int] = NEA
     close = F.col("common") * near[1] >= F.col("all") * near[0]
 
     small = materialise(possible(local_pairs(found), nodes, near), "pairs")
-    large = materialise(distinct_regions(found.filter("large").select("region", F.explode("members").alias("key")).distinct()), "large")
+    large = materialise(large_regions(found), "large")
     wanted = small.select(F.col("a").alias("key")).union(small.select(F.col("b").alias("key"))).union(large.select("key")).distinct()
     wanted = wanted.join(nodes.select("key", "doc_id"), "key")
     # rows that repeat a doc_id may differ in text: a key may then have several texts, each is compared
-    texts = materialise(docs.join(wanted, "doc_id").select("key", "text").distinct(), "texts")
+    texts = materialise(docs.join(wanted, "doc_id").select("key", "text"), "texts")
 
     repeated = with_id.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b")
     repeated = with_id.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("key").alias("b")).filter("a <> b")
@@ -367,5 +375,5 @@ def rest_of_large(large: DataFrame, group: DataFrame, tested: DataFrame, nodes:
 
 def one_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of docs that are the smallest doc_id of their group; rows without doc_id stay."""
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("kept"), "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(keep, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -157,19 +157,19 @@ def fit(docs: DataFrame, learn) -> Network | None:
     return train(texts, np.array([number[lang] for _, lang in cut]), languages)
 
 
-def identify(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """lang_pred and score of every whole text, beside the columns in keep."""
+def identify(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Language and score of every whole text under the given names, beside the columns in keep."""
     kept = docs.select(*keep, *(() if "text" in keep else ("text",)))
     if net is None:
-        return kept.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return kept.select(*keep, F.lit(UNDETERMINED).alias(names[0]), F.lit(0.0).alias(names[1]))
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep), "lang_pred string", "score double"])
+    out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep), f"{names[0]} string", f"{names[1]} double"])
 
     def run(batches):
         scorer = None
         for batch in batches:
             scorer = scorer or Scorer(shared.value)
-            names, scores = [], []
+            told, scores = [], []
             for part in slices(batch, "text", 1 << 20):
                 raw, offsets = utf8(part.column("text"))
                 x, doc, own = windows(raw, offsets)
@@ -184,11 +184,11 @@ def identify(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc
                 for k in np.flatnonzero(~has & (np.diff(offsets) > 0)):
                     has[k] = any(map(str.isalpha, part.column("text")[k].as_py()))
                 best = mean.argmax(1)
-                names += [scorer.net.languages[b] if h else UNDETERMINED for b, h in zip(best.tolist(), has.tolist(), strict=True)]
+                told += [scorer.net.languages[b] if h else UNDETERMINED for b, h in zip(best.tolist(), has.tolist(), strict=True)]
                 scores.append(np.where(has, np.clip(mean[np.arange(n), best], 0, 1), 0.0))
-            if names:
-                cols = [batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(np.concatenate(scores), pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, [*keep, "lang_pred", "score"])
+            if told:
+                cols = [batch.column(c) for c in keep] + [pa.array(told, pa.string()), pa.array(np.concatenate(scores), pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, [*keep, *names])
 
     return kept.mapInArrow(run, out_schema)
 

@@ -360,52 +360,63 @@ def window_spans(crowded: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(later, "doc_id long, start long, stop long")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans array<struct<start,stop>> (maximal removed runs) and kept (bytes) of each row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = materialise(repeated(anchor_rows(docs.filter(F.col("doc_id").isNotNull()), length, gram)), "anchors")
+def removed_lists(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """_id and _found, the removed spans (overlapping, unordered), of each doc_id that loses something."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    found = materialise(repeated(anchor_rows(docs, length, gram)), "anchors")
     places = found.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "size")).alias("places"))
     compared = materialise(compare_contexts(context_rows(docs.join(places, "doc_id")), length), "spans")
     spans = compared.filter(F.col("context").isNull()).drop("context")
     crowded = compared.filter(F.col("context").isNotNull()).drop("stop")
     spans = spans.union(window_spans(crowded, length))
-    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    return spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("_found"))
+
+
+def cut_out(raw: bytes, spans: list[dict] | None) -> tuple[bytes, list[dict]]:
+    """The bytes outside the spans, and the spans as maximal runs."""
+    merged: list[list[int]] = []
+    for start, stop in sorted((s["start"], min(s["stop"], len(raw))) for s in spans or ()):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], stop)
+        elif start < stop:
+            merged.append([start, stop])
+    edges = [0, *(x for s in merged for x in s), len(raw)]
+    return b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)), [{"start": i, "stop": j} for i, j in merged]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans array<struct<start,stop>> (maximal removed runs) and kept (bytes) of each row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary()]
         for batch in batches:
             rows = []
-            for doc_id, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "found")), strict=True):
-                raw = text.encode()
-                merged: list[list[int]] = []
-                for start, stop in sorted((s["start"], min(s["stop"], len(raw))) for s in spans or ()):
-                    if merged and start <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], stop)
-                    elif start < stop:
-                        merged.append([start, stop])
-                edges = [0, *(x for s in merged for x in s), len(raw)]
-                kept = b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((doc_id, len(raw), len(raw) - len(kept), [{"start": i, "stop": j} for i, j in merged], kept))
+            for doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "_found")), strict=True):
+                raw = (text or "").encode()
+                kept, spans = cut_out(raw, found)
+                rows.append((doc_id, len(raw), len(raw) - len(kept), spans, kept))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return docs.join(listed, "doc_id", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
+    joined = docs.join(removed_lists(docs, length, gram), F.col("doc_id") == F.col("_id"), "left")
+    return joined.select("doc_id", "text", "_found").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the repeated passages taken out of text, and n_chars counted anew.
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs, all rows and columns, with the repeated passages taken out of text, and n_chars counted anew.
 
-    A character that lost only some of its bytes goes with them. Rows that
-    repeat a doc_id come out once for each.
+    A character that lost only some of its bytes goes with them; a null text
+    becomes empty.
     """
-    kept = remove_repeats(docs, length).select("doc_id", "kept")
+    names = docs.columns
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["id", "left"])
-
-    texts = map_arrow(kept, one, "id long, left string")
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    joined = docs.select(*others).join(texts, F.col("doc_id").eqNullSafe(F.col("id")))
-    changed = joined.withColumn("text", F.col("left")).withColumn("n_chars", F.char_length("left").cast("long"))
-    return changed.select(*docs.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [cut_out((t or "").encode(), f)[0].decode("utf-8", "ignore") for t, f in zip(batch.column("text").to_pylist(), batch.column("_found").to_pylist(), strict=True)]
+            cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    joined = docs.join(removed_lists(docs, length, gram), F.col("doc_id") == F.col("_id"), "left")
+    cut = joined.select(*docs.columns, "_found").mapInArrow(run, docs.schema)
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut

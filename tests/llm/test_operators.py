@@ -82,7 +82,7 @@ def brute_groups(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("small_region", [24, 2])
+@pytest.mark.parametrize("small_region", [24, 6, 1])
 def test_jaccard_groups(docs, rows, monkeypatch, small_region):
     monkeypatch.setattr(jaccard, "SMALL_REGION", small_region)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_groups(docs).collect()}
