@@ -43,8 +43,8 @@ from skyloom.llm.components import components
 WIDTH = 5
 #: Least similarity, as a ratio of whole numbers.
 NEAR = (75, 100)
-#: Slots of the count sketch of a set.
-SLOTS = 128
+#: Shingles for each slot of a set's count sketch, about: 2 to 4.
+PER_SLOT = 4
 #: One document in so many is counted for the order of shingles, and a shingle
 #: found in so many of them counts as frequent. The order only affects speed.
 SAMPLE, FREQUENT = 16, 3
@@ -74,6 +74,36 @@ def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(kept.column("shingle").to_numpy().view(np.uint64))
 
 
+def sketches(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Counts of each set's shingles by leading bits of their hashes, a byte a slot.
+
+    The number of slots is a power of two that grows with the set, so a sketch
+    is a small part of its text. A set with over 255 in a slot has no sketch.
+    """
+    bits = np.maximum(4, np.ceil(np.log2(np.maximum(n, 1) / PER_SLOT))).astype(np.int64)
+    size = np.int64(1) << bits
+    at = np.cumsum(size) - size
+    slot = (h >> (np.uint64(64) - bits.astype(np.uint64))[doc]).astype(np.int64)
+    counts = np.bincount(at[doc] + slot, minlength=int(size.sum()))
+    full = np.maximum.reduceat(counts, at) > 255 if len(at) else []
+    raw = counts.astype(np.uint8).tobytes()
+    return [b"" if f else raw[i : i + m] for f, i, m in zip(full, at.tolist(), size.tolist(), strict=True)]
+
+
+def folded(counts: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (..., slots) as they would be with `size` slots."""
+    return counts.reshape(*counts.shape[:-1], size, -1).sum(-1) if counts.shape[-1] > size else counts
+
+
+def most_common(n: int, m: int, a: bytes, b: bytes) -> float:
+    """No fewer shingles than two sets of n and m have in common, by their sketches."""
+    if not a or not b:
+        return min(n, m)
+    size = min(len(a), len(b))
+    x, y = (folded(np.frombuffer(s, np.uint8).astype(np.int32), size) for s in (a, b))
+    return (n + m - np.abs(x - y).sum()) / 2
+
+
 def profiles(docs: DataFrame, width: int, near: tuple[int, int]) -> DataFrame:
     """doc_id, n (set size), key (hash of the set), sketch, and the boundary shingles.
 
@@ -101,8 +131,7 @@ def profiles(docs: DataFrame, width: int, near: tuple[int, int]) -> DataFrame:
                 chosen = order[place < (n - least_overlap(n, near) + 1)[doc]]
                 cut = np.searchsorted(doc[chosen], np.arange(part.num_rows + 1))
                 boundary = h[chosen].view(np.int64)
-                slot = (h >> np.uint64(57 if SLOTS == 128 else 56)).astype(np.int64)
-                counts = np.minimum(np.bincount(doc * SLOTS + slot, minlength=part.num_rows * SLOTS), 255).astype(np.uint8).reshape(-1, SLOTS)
+                marks = sketches(doc, h, n)
                 keys = key.view(np.int64).tolist()
                 sigs: list = []
                 sketch: list = []
@@ -110,7 +139,7 @@ def profiles(docs: DataFrame, width: int, near: tuple[int, int]) -> DataFrame:
                     if n[k] and x not in seen:
                         seen.add(x)
                         sigs.append(boundary[cut[k] : cut[k + 1]])
-                        sketch.append(counts[k].tobytes())
+                        sketch.append(marks[k])
                     else:
                         sigs.append(None)
                         sketch.append(None)
@@ -204,10 +233,11 @@ def possible(pairs: DataFrame, nodes: DataFrame, near: tuple[int, int]) -> DataF
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b"))
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS).astype(np.int16) for c in ("s_a", "s_b"))
-        apart = np.abs(x - y).sum(1)
         least = -(-(n + m) * near[0] // (near[0] + near[1]))
-        keep = (n + m - apart >= 2 * least) & (least <= np.minimum(n, m))
+        keep = least <= np.minimum(n, m)
+        sides = (batch.column(c) for c in ("s_a", "s_b"))
+        sketched = zip(n.tolist(), m.tolist(), *(c.to_pylist() for c in sides), strict=True)
+        keep &= np.array([most_common(*x) for x in sketched]) >= least
         return batch.select(["a", "b"]).filter(pa.array(keep))
 
     a = nodes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
@@ -325,20 +355,34 @@ def rest_of_large(large: DataFrame, group: DataFrame, tested: DataFrame, nodes:
 
     def pairs_of(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         key, comp, n, own_, i, j = (part.column(c).to_numpy() for c in ("key", "component", "n", "own", "i", "j"))
-        sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS).astype(np.int16)
+        sketch = part.column("sketch").to_pylist()
+        length = np.array([len(x) for x in sketch])
+        by_length = {}
+        for size in np.unique(length[length > 0]).tolist():
+            own_rows = np.flatnonzero(length == size)
+            by_length[size] = own_rows, np.frombuffer(b"".join(sketch[r] for r in own_rows), np.uint8).reshape(-1, size).astype(np.int16)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(len(key) - 1):
-            ok = comp[k + 1 :] != comp[k]
+            ok = comp != comp[k]
+            ok[: k + 1] = False
             if i[k] != j[k]:
-                ok &= own_[k + 1 :] != own_[k]
-            least = -(-(n[k] + n[k + 1 :]) * near[0] // (near[0] + near[1]))
-            ok &= least <= np.minimum(n[k], n[k + 1 :])
-            at = np.flatnonzero(ok) + k + 1
-            if len(at):
-                apart = np.abs(sketch[at] - sketch[k]).sum(1)
-                at = at[n[k] + n[at] - apart >= 2 * least[at - k - 1]]
-                left.append(np.minimum(key[k], key[at]))
-                right.append(np.maximum(key[k], key[at]))
+                ok &= own_ != own_[k]
+            least = -(-(n[k] + n) * near[0] // (near[0] + near[1]))
+            ok &= least <= np.minimum(n[k], n)
+            if not ok.any():
+                continue
+            if length[k]:
+                mine = np.frombuffer(sketch[k], np.uint8).astype(np.int16)
+                for size, (its_rows, counts) in by_length.items():
+                    chosen = ok[its_rows]
+                    if chosen.any():
+                        small = min(size, len(mine))
+                        apart = np.abs(folded(counts[chosen], small) - folded(mine, small)).sum(1)
+                        rows_ = its_rows[chosen]
+                        ok[rows_] = n[k] + n[rows_] - apart >= 2 * least[rows_]
+            at = np.flatnonzero(ok)
+            left.append(np.minimum(key[k], key[at]))
+            right.append(np.maximum(key[k], key[at]))
         return np.concatenate(left), np.concatenate(right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

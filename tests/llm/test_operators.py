@@ -300,3 +300,14 @@ def test_words_match_regex():
         raw = np.frombuffer(t.encode(), np.uint8)
         w = words.split(raw, np.array([0, len(raw)]), ~words.SPACES)
         assert [raw[i:j].tobytes().decode() for i, j in zip(w.start, w.end, strict=True)] == re.findall(r"[^\x20\x09-\x0D]+", t)
+
+
+def test_sketches_never_lose_a_link():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:k], rng.integers(0, 2**63, e, dtype=np.uint64)])) for k in (5, 90, 130, 700, 2900, 3000) for e in (0, 3, 40, 900)]
+    n = np.array([len(x) for x in sets])
+    marks = jaccard.sketches(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), n)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert jaccard.most_common(len(x), len(y), marks[i], marks[j]) >= len(np.intersect1d(x, y))
