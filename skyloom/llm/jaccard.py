@@ -52,7 +52,7 @@ FREQUENT_KEPT = 1_000_000
 #: Documents of a region that are compared locally without a pivot.
 SMALL_REGION = 6
 #: Pivots of a large region, and documents of a block of it.
-PIVOTS = 2
+PIVOTS = 4
 REGION_BLOCK = 4096
 
 
