@@ -82,7 +82,7 @@ STATES = f"""{OBJ}, st AS (SELECT norad_id, step, r, n, radians(u0_deg) + n * (s
  xyz AS (SELECT norad_id, step, r * (cos(om) * cos(u) - sin(om) * sin(u) * cos(inc)) x, r * (sin(om) * cos(u) + cos(om) * sin(u) * cos(inc)) y, r * sin(u) * sin(inc) z,
   r * n * (-cos(om) * sin(u) - sin(om) * cos(u) * cos(inc)) vx, r * n * (-sin(om) * sin(u) + cos(om) * cos(u) * cos(inc)) vy, r * n * cos(u) * sin(inc) vz FROM st)"""
 BAND = "a.k < b.k AND a.perigee_km - b.apogee_km <= {p} AND b.perigee_km - a.apogee_km <= {p}"
-#: Pairs that queries over every step look at: low ids that differ by up to 12 in band, so their number grows with the catalogue and not its square.
+#: The SQL below looks only at ids that differ by up to 12; the queries look at every pair in band.
 NEAR_IDS = 12
 REL = f"""{STATES}, prs AS (SELECT a.norad_id pid, b.norad_id sid FROM obj a JOIN obj b ON {BAND.format(p="100")} AND b.k - a.k <= {NEAR_IDS}),
  rel AS (SELECT pid, sid, a.step, b.x - a.x dx, b.y - a.y dy, b.z - a.z dz, b.vx - a.vx dvx, b.vy - a.vy dvy, b.vz - a.vz dvz, a.x, a.y, a.z, a.vx, a.vy, a.vz FROM prs JOIN xyz a ON a.norad_id = pid JOIN xyz b ON b.norad_id = sid AND b.step = a.step)"""
@@ -98,12 +98,8 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel.circular_states(synthetic.objects(spark, sf_dir), 2, 60)
 
 
-def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return funnel.band_pairs(synthetic.objects(spark, sf_dir)).filter(F.col("secondary_norad_id") - F.col("primary_norad_id") <= NEAR_IDS)
-
-
 def relative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return funnel.separations(near_pairs(spark, sf_dir), states(spark, sf_dir))
+    return funnel.separations(funnel.band_pairs(synthetic.objects(spark, sf_dir)), states(spark, sf_dir))
 
 
 # --- parsing and derivation ----------------------------------------------------------------------
