@@ -107,7 +107,7 @@ def most_common(n: int, m: int, a: bytes, b: bytes) -> float:
 def profiles(docs: DataFrame, width: int, near: tuple[int, int]) -> DataFrame:
     """doc_id, n (set size), key (hash of the set), sketch, and the boundary shingles.
 
-    Within a task, only the first row of a key has sketch and boundary.
+    Within a task, only the first row of a key that has a doc_id has sketch and boundary.
     """
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
 
@@ -133,10 +133,11 @@ def profiles(docs: DataFrame, width: int, near: tuple[int, int]) -> DataFrame:
                 boundary = h[chosen].view(np.int64)
                 marks = sketches(doc, h, n)
                 keys = key.view(np.int64).tolist()
+                with_id = part.column("doc_id").is_valid().to_pylist()
                 sigs: list = []
                 sketch: list = []
                 for k, x in enumerate(keys):
-                    if n[k] and x not in seen:
+                    if n[k] and with_id[k] and x not in seen:
                         seen.add(x)
                         sigs.append(boundary[cut[k] : cut[k + 1]])
                         sketch.append(marks[k])

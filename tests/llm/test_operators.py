@@ -98,6 +98,14 @@ def test_jaccard_edge_rows(spark, empty):
     assert len([g for g in got if g[0] is None]) == 1
 
 
+def test_jaccard_copy_without_id_first(spark):
+    w = [f"w{i}" for i in range(60)]
+    text, near = " ".join(w), " ".join([*w[:-1], "other"])
+    rows = spark.createDataFrame([(None, text), (5, text), (4, near)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard.near_groups(rows).collect() if r.doc_id is not None}
+    assert got == {5: 4, 4: 4}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randint(100, 140), rng.randint(100, 140)) for _ in range(30)]
