@@ -264,7 +264,7 @@ def local_minima(spark, sf_dir):
 @query(f"WITH {REL} SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, step::INT step, round((dx*dvx + dy*dvy + dz*dvz) / sqrt(dx*dx + dy*dy + dz*dz), 5) rate FROM rel WHERE step % 10 = 0")
 def range_rate(spark, sf_dir):
     d, v = tuple(map(F.col, ("dx", "dy", "dz"))), tuple(map(F.col, ("dvx", "dvy", "dvz")))
-    return relative(spark, sf_dir).filter("step % 10 = 0").select("primary_norad_id", "secondary_norad_id", "step", F.round(frames.range_rate(d, v), 5).alias("rate"))
+    return relative(spark, sf_dir).select("primary_norad_id", "secondary_norad_id", "step", F.round(frames.range_rate(d, v), 5).alias("rate"))
 
 
 @query(
@@ -274,7 +274,7 @@ def range_rate(spark, sf_dir):
 def rtn_components(spark, sf_dir):
     r, v, d = (tuple(map(F.col, c)) for c in (("x", "y", "z"), ("vx", "vy", "vz"), ("dx", "dy", "dz")))
     parts = frames.rtn(r, v, d)
-    return relative(spark, sf_dir).filter("step % 10 = 0").select("primary_norad_id", "secondary_norad_id", "step", *(F.round(p, 3).alias(f"{n}_km") for p, n in zip(parts, ("radial", "in_track", "cross_track"), strict=True)))
+    return relative(spark, sf_dir).select("primary_norad_id", "secondary_norad_id", "step", *(F.round(p, 3).alias(f"{n}_km") for p, n in zip(parts, ("radial", "in_track", "cross_track"), strict=True)))
 
 
 # --- scoring -------------------------------------------------------------------------------------
@@ -523,21 +523,26 @@ def antimeridian_split(spark, sf_dir):
     return events.track_segments(events.circular_track(synthetic.objects(spark, sf_dir), now(), 24)).select("norad_id", "i", "segment")
 
 
+SOUGHT = {"view": "click", "click": "purchase", "purchase": "signup", "signup": "error", "error": "view"}
+
+
 @query(
     """WITH s AS (SELECT event_type et, epoch(ts) t, min(event_id) sample_id FROM events WHERE event_id % 5 = 0 GROUP BY 1, 2), q AS (SELECT event_type et, event_id, epoch(ts) target FROM events WHERE event_id % 50 = 7),
  m AS (SELECT event_id, t, sample_id, abs(t - target) gap, row_number() OVER (PARTITION BY event_id ORDER BY abs(t - target), t) n FROM q JOIN s USING (et))
  SELECT event_id, sample_id, round(gap, 3) gap_s, gap > 3600 far FROM m WHERE n = 1"""
 )
 def asof_nearest(spark, sf_dir):
+    """For each event the nearest one of the type that its own type is followed by in SOUGHT."""
     e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    samples = e.filter("event_id % 5 = 0").groupBy("event_type", "t").agg(F.min("event_id").alias("sample_id"))
-    targets = e.filter("event_id % 50 = 7").select("event_type", F.col("t").alias("target"), "event_id")
+    samples = e.groupBy("event_type", "t").agg(F.min("event_id").alias("sample_id"))
+    sought = F.create_map(*(F.lit(x) for pair in SOUGHT.items() for x in pair))[F.col("event_type")]
+    targets = e.select(sought.alias("event_type"), F.col("t").alias("target"), "event_id").filter("event_type is not null")
     return events.nearest_sample(targets, samples, "event_type").select("event_id", "sample_id", F.round("gap_s", 3).alias("gap_s"), "far")
 
 
 @query(f"WITH {EV} SELECT event_no, (g.i * 10 - 60)::INT offset_s, round(miss + abs((g.i * 10 - 60) / 60.0::DOUBLE) * speed * 6.0::DOUBLE, 3) separation_km FROM ev, range(0, 13) g(i) WHERE event_no % 100 = 1")
 def straight_line_geometry(spark, sf_dir):
-    return events.straight_line_geometry(ev(spark, sf_dir).filter("event_no % 100 = 1")).select(F.col("event_id").alias("event_no"), "offset_s", "separation_km")
+    return events.straight_line_geometry(ev(spark, sf_dir)).select(F.col("event_id").alias("event_no"), "offset_s", "separation_km")
 
 
 @query(
