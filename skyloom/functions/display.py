@@ -25,10 +25,14 @@ def relative_label(seconds: Column) -> Column:
 
 
 def compact_count(n: Column) -> Column:
-    """Thousands separators below a million, else one decimal and an exponent: 4.5e8."""
-    power = F.floor(F.log10(F.abs(n).cast("double")) + F.lit(1e-12)).cast("int")
-    power = power + F.when(F.round(F.abs(n) / F.pow(F.lit(10.0), power), 1) >= 10, 1).otherwise(0)
-    large = F.concat(F.call_function("format_number", n / F.pow(F.lit(10.0), power), F.lit("0.0")), F.lit("e"), power.cast("string"))
+    """Thousands separators below a million, else one decimal and an exponent: 4.5e8. A tie takes the larger digit."""
+    # from the decimal digits, as a quotient of doubles may miss a tie
+    digits = F.substring_index(F.call_function("format_number", F.abs(n), F.lit("0.############")), ".", 1)
+    tenths = F.substring(digits, 1, 2).try_cast("int") + F.when(F.substring(digits, 3, 1) >= "5", 1).otherwise(0)
+    power = F.length(digits) - 1 + F.when(tenths >= 100, 1).otherwise(0)
+    tenths = F.when(tenths >= 100, 10).otherwise(tenths)
+    lead = F.concat((tenths / 10).cast("int").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    large = F.concat(F.when(n < 0, "-").otherwise(""), lead, F.lit("e"), power.cast("string"))
     return F.when(F.abs(n) >= 1_000_000, large).otherwise(F.format_number(n, 0))
 
 

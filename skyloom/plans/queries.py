@@ -142,7 +142,7 @@ def pair_validation(spark, sf_dir):
 
 @query(f"WITH {TLES} SELECT k, round({AXIS}, 4) sma_km, round({AXIS} * (1 - {ECC}) - 6378.137, 4) perigee_km, round({AXIS} * (1 + {ECC}) - 6378.137, 4) apogee_km FROM tles WHERE k % 13 <> 0")
 def derive_geometry(spark, sf_dir):
-    p = tle.parse(synthetic.records(spark, sf_dir), now()).filter("k % 13 <> 0")
+    p = tle.parse(synthetic.records(spark, sf_dir), now())
     return p.select("k", F.round(tle.semi_major_axis(F.col("mean_motion")), 4).alias("sma_km"), F.round("perigee_km", 4).alias("perigee_km"), F.round("apogee_km", 4).alias("apogee_km"))
 
 
@@ -559,7 +559,7 @@ def relative_label(spark, sf_dir):
  (o_custkey % 200) || ' h' AS hours FROM orders WHERE o_custkey % 100 <> 0 AND (o_custkey * 1000 < 1000000 OR o_custkey % 100 NOT IN (5, 15, 25, 35, 45, 55, 65, 75, 85, 95, 50))"""
 )
 def compact_count(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 100 <> 0 AND (o_custkey * 1000 < 1000000 OR o_custkey % 100 NOT IN (5, 15, 25, 35, 45, 55, 65, 75, 85, 95, 50))")
+    o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey", display.compact_count(F.col("o_custkey") * 1000).alias("label"), display.hours_label((F.col("o_custkey") % 200).cast("double")).alias("hours"))
 
 
