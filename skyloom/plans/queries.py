@@ -635,7 +635,7 @@ def weighted_sample(spark, sf_dir):
 def sgp4_ephemeris(spark, sf_dir):
     from skyloom.operators import screening
 
-    return screening.ephemeris(parsed(spark, sf_dir), EPOCH_2024, 2.0, 60)
+    return screening.ephemeris(parsed(spark, sf_dir), EPOCH_2024, SCREENING_HOURS, 60)
 
 
 @query()
@@ -652,9 +652,10 @@ def orbit_paths(spark, sf_dir):
 
 
 EPOCH_2024 = 1704067200.0
+SCREENING_HOURS = 72.0
 
 
-def screen(spark: SparkSession, sf_dir: str, source: str = "supplier", hours: float = 2.0, threshold_km: float = 100.0) -> DataFrame:
+def screen(spark: SparkSession, sf_dir: str, source: str = "supplier", hours: float = SCREENING_HOURS, threshold_km: float = 100.0) -> DataFrame:
     """Band join and three-pass screen of the synthetic element sets."""
     from skyloom.operators import screening
 
