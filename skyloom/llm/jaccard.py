@@ -10,14 +10,15 @@ n - ceil(s * n) + 1 rarest shingles, in one order for the whole corpus. That
 is the replication of boundary documents; two documents within the distance
 share a region. Copies are one document throughout.
 
-Small regions (nearly all) compare their documents locally. Large regions join
-recursively: documents of the region become its pivots, all distances to them
-are computed exactly, documents within the distance join a pivot's group, and
-a region whose documents are all in one group is done. What is undecided then
-are pairs of different groups; the triangle inequality over the distances to
-the pivots drops those that cannot be near, and the rest are compared. Bounds
-of size and of a count sketch come before each exact comparison. No bound or
-window loses a link.
+Small regions (nearly all) compare their documents locally. In a large region
+up to PIVOTS documents are pivots, in one round: there are no Voronoi cells
+and no recursion. Distances to the pivots are computed only for pairs that
+sizes and sketches allow to be near; documents within the distance join a
+pivot's group, and a region whose documents are all in one group is done.
+Otherwise all pairs of its documents are looked at in blocks, by group, size
+and sketch, which grows with the square of the region; the triangle inequality
+over the distances that are known then drops pairs of different groups, and
+the rest are compared. No bound loses a link.
 
 Defined cases: a document with fewer words than a shingle has its whole
 sequence as its shingle; one without words, or with a null text, has none and
