@@ -73,16 +73,25 @@ def split(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
     return Words(start, end, doc, np.bincount(doc, minlength=docs))
 
 
+class Rolling:
+    """64-bit hashes of any pieces of a byte array: a polynomial over coded bytes, finalised."""
+
+    def __init__(self, raw: np.ndarray, lower: bool = False):
+        n = len(raw)
+        self.sums = np.zeros(n + 1, np.uint64)
+        if n:
+            coded = BYTE_CODE[LOWER[raw]] if lower else BYTE_CODE[raw]
+            np.cumsum(coded * _power(BASE, n, "up")[:n], out=self.sums[1:])
+        self.down = _power(BASE_INVERSE, n, "down")
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of each raw[start:end]."""
+        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+
+
 def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each piece raw[start:end]: a polynomial over coded bytes, finalised."""
-    n = len(raw)
-    if not n or not len(start):
-        return np.zeros(len(start), np.uint64)
-    coded = BYTE_CODE[LOWER[raw]] if lower else BYTE_CODE[raw]
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(coded * _power(BASE, n, "up")[:n], out=sums[1:])
-    return mix((sums[end] - sums[start]) * _power(BASE_INVERSE, n, "down")[start])
+    """A 64-bit hash of each piece raw[start:end]."""
+    return Rolling(raw, lower).of(start, end) if len(start) else np.zeros(0, np.uint64)
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
