@@ -1,19 +1,25 @@
 """Exact top-k inner products by a Voronoi kNN join.
 
 Greatest inner product becomes nearest neighbour: with one more coordinate,
-sqrt(M^2 - |x|^2) for a vector x of data and 0 for a query, all data lie on a
-sphere of radius M, and a distance falls as the product grows. Pivots split
-queries into Voronoi groups. Each group has a bound on the distance to any of
-its queries' k-th neighbour, from the summaries of the data's cells (their k
-least distances to their pivot). Data whose triangle-inequality bound to a
-group lies above that are not sent there; the rest are sent and compared
-exactly, in blocks of bounded size.
+sqrt(M^2 - |x|^2) for a vector x of data, all data lie on a sphere of radius M.
+A query is scaled to length M, which changes no order of its products, and gets
+0 there, so queries lie on the sphere too; a distance falls as the product
+grows. Data have pivots, about as many as the square root of their number, and
+so have queries. Each group of queries has a bound on the distance to any of its
+queries' k-th neighbour, from the summaries of the data's cells (their k least
+distances to their pivot) and the distances between pivots. A data vector is
+sent to a group only if the triangle inequality over the group's pivot leaves
+it within that bound; what is sent is compared exactly, in blocks of bounded
+size.
 
 Defined cases: null vectors, vectors with null or non-finite components and
 rows without vec_id take no part; shorter vectors count as padded with 0;
 rows that repeat a vec_id are one vector, the least; ties go to the smaller
-vec_id; fewer than k other rows give fewer results; extra columns are ignored.
-Scaled components must be under 2^31 in magnitude.
+vec_id; fewer than k other rows give fewer results; a query without length has
+score 0 with all others and so the smallest vec_ids; an empty table gives an
+empty result; extra columns of any name are ignored. Components may be of any
+size: products are exact, and one beyond 64 bits counts as the nearest 64-bit
+number.
 """
 
 from __future__ import annotations
@@ -29,9 +35,12 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import materialise
 
-#: Voronoi pivots, whatever the size of the data, and the vectors they are chosen from.
-PIVOTS = 16
-PIVOT_SAMPLE = 512
+#: Pivots of data, least and most; between these, the square root of the number
+#: of vectors. Pivots of queries: one for so many, within their own limits.
+DATA_PIVOTS = (16, 1024)
+QUERIES_A_PIVOT, QUERY_PIVOTS = 256, (4, 512)
+#: Vectors that pivots are chosen from, for each pivot.
+SAMPLE_A_PIVOT = 8
 #: Queries and data vectors that one task compares at a time, about.
 QUERY_CHUNK = 2048
 DATA_BLOCK = 32_768
@@ -40,8 +49,9 @@ DATA_BLOCK = 32_768
 class Space(NamedTuple):
     dim: int
     radius2: float  # M^2
-    pivots: np.ndarray  # (pivots, dim + 1), on the sphere
-    exact: bool  # products are whole below 2^53
+    pivots: np.ndarray  # of data (pivots, dim + 1), on the sphere
+    centres: np.ndarray  # of queries, on the sphere
+    kind: type  # of numbers in which products are exact
 
 
 def scaled(embeddings: DataFrame, scale: float) -> DataFrame:
@@ -65,20 +75,37 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def space(data: DataFrame) -> Space:
-    """Pivots by farthest-first choice among a bounded sample, and the data's extent."""
-    norm2 = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
-    dim, most, radius2 = data.agg(F.max(F.size("x")), F.max(F.array_max(F.transform("x", F.abs))), F.max(norm2)).first()
-    dim, most, radius2 = int(dim or 0), float(most or 0), float(radius2 or 0)
-    if most >= 2**31:
-        raise ValueError("scaled components must be under 2^31 in magnitude")
-    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).toArrow().column("x").combine_chunks()
-    points = lifted(matrix(sample, dim), radius2)
+def farthest_first(points: np.ndarray, n: int) -> np.ndarray:
+    """n of the points (fewer if they coincide), each the farthest from those before it."""
     chosen, gap = [0], ((points - points[0]) ** 2).sum(1)
-    while len(chosen) < min(PIVOTS, len(points)) and gap.max() > 0:
+    while len(chosen) < min(n, len(points)) and gap.max() > 0:
         chosen.append(int(gap.argmax()))
         gap = np.minimum(gap, ((points - points[chosen[-1]]) ** 2).sum(1))
-    return Space(dim, radius2, points[chosen], dim * most * most < 2**53)
+    return points[chosen]
+
+
+def between(n: float, limits: tuple[int, int]) -> int:
+    return int(min(max(n, limits[0]), limits[1]))
+
+
+def space(data: DataFrame, queries: DataFrame) -> Space:
+    """Pivots by farthest-first choice among bounded samples, and the data's extent."""
+    norm2 = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+    n, dim, most, radius2 = data.agg(F.count("*"), F.max(F.size("x")), F.max(F.array_max(F.transform("x", F.abs))), F.max(norm2)).first()
+    dim, most, radius2 = int(dim or 0), float(most or 0), float(radius2 or 0)
+    bound = dim * most * most
+    kind = float if bound < 2**53 else np.int64 if bound < 2**63 else object
+
+    def sample(rows: DataFrame, size: int) -> np.ndarray:
+        return matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).toArrow().column("x").combine_chunks(), dim)
+
+    if kind is object:  # products may be beyond 64 bits and then tie: no distances, every group gets all data
+        return Space(dim, radius2, np.zeros((1, dim + 1)), np.zeros((1, dim + 1)), kind)
+    wanted = between(n**0.5, DATA_PIVOTS)
+    pivots = farthest_first(lifted(sample(data, wanted * SAMPLE_A_PIVOT), radius2), wanted)
+    wanted = between(queries.count() / QUERIES_A_PIVOT, QUERY_PIVOTS)
+    x = sample(queries, wanted * SAMPLE_A_PIVOT)
+    return Space(dim, radius2, pivots, farthest_first(stretched(x, radius2), wanted) if len(x) else pivots[:1], kind)
 
 
 def lifted(x: np.ndarray, radius2: float) -> np.ndarray:
@@ -86,46 +113,61 @@ def lifted(x: np.ndarray, radius2: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(radius2 - (x * x).sum(1), 0))[:, None]], 1)
 
 
-def distances(x: np.ndarray, sp: Space, query: bool) -> np.ndarray:
-    """(rows, pivots) distances of queries or data to the pivots."""
-    points = np.concatenate([x, np.zeros((len(x), 1))], 1) if query else lifted(x, sp.radius2)
-    d2 = (points**2).sum(1)[:, None] + (sp.pivots**2).sum(1)[None] - 2 * points @ sp.pivots.T
+def stretched(x: np.ndarray, radius2: float) -> np.ndarray:
+    """Queries on the sphere."""
+    size = np.sqrt((x * x).sum(1))[:, None]
+    return np.concatenate([x * np.divide(np.sqrt(radius2), size, out=np.zeros_like(size), where=size > 0), np.zeros((len(x), 1))], 1)
+
+
+def distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """(points, pivots) distances."""
+    d2 = (points**2).sum(1)[:, None] + (to**2).sum(1)[None] - 2 * points @ to.T
     return np.sqrt(np.maximum(d2, 0))
 
 
 def summaries(data: DataFrame, queries: DataFrame, sp: Space, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each query group: greatest distance to its pivot, bound on the k-th neighbour, number of queries.
 
-    What comes to the driver is a few numbers for each pivot.
+    What comes to the driver is k numbers for each pivot.
     """
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [np.zeros(0)] * len(sp.pivots)
-        for batch in batches:
-            d = distances(matrix(batch.column("x"), sp.dim), sp, False)
+        best: dict[int, np.ndarray] = {}
+        for part in (batch.slice(i, 2048) for batch in batches for i in range(0, batch.num_rows, 2048)):
+            d = distances(lifted(matrix(part.column("x"), sp.dim), sp.radius2), sp.pivots)
             cell, own = d.argmin(1), d.min(1)
-            best = [np.sort(np.concatenate([b, own[cell == j]]))[:k] for j, b in enumerate(best)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(best)), [len(b) for b in best]), pa.int32()), pa.array(np.concatenate(best), pa.float64())], ["cell", "d"])
+            for j in np.unique(cell).tolist():
+                best[j] = np.sort(np.concatenate([best.get(j, np.zeros(0)), own[cell == j]]))[:k]
+        if best:
+            cells = np.repeat(np.array(list(best), np.int32), [len(b) for b in best.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(np.concatenate(list(best.values())), pa.float64())], ["cell", "d"])
 
     def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = distances(matrix(batch.column("x"), sp.dim), sp, True)
+            d = distances(stretched(matrix(batch.column("x"), sp.dim), sp.radius2), sp.centres)
             yield pa.RecordBatch.from_arrays([pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1), pa.float64())], ["cell", "d"])
 
     order = Window.partitionBy("cell").orderBy("d")
     near = data.mapInArrow(least, "cell int, d double").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).collect()
-    wide, count = np.zeros(len(sp.pivots)), np.zeros(len(sp.pivots), np.int64)
+    wide, count = np.zeros(len(sp.centres)), np.zeros(len(sp.centres), np.int64)
     for r in queries.mapInArrow(widest, "cell int, d double").groupBy("cell").agg(F.max("d").alias("d"), F.count("*").alias("n")).collect():
         wide[r.cell], count[r.cell] = r.d, r.n
     cell, d = np.array([r.cell for r in near], np.int64), np.array([r.d for r in near])
-    # a group's queries have their centre at a pivot of the data, at most `wide` away
-    between = np.sqrt(np.maximum(((sp.pivots[:, None] - sp.pivots[None]) ** 2).sum(2), 0))
-    bound = np.full(len(sp.pivots), np.inf)
+    bound = np.full(len(sp.centres), np.inf)
     if len(d) >= k:
-        bound = np.partition(wide[:, None] + between[:, cell] + d[None], k - 1, axis=1)[:, k - 1]
+        gap = distances(sp.centres, sp.pivots)
+        for g in range(len(bound)):  # any query of the group is at most so far from these vectors
+            bound[g] = wide[g] + np.partition(gap[g, cell] + d, k - 1)[k - 1]
     return wide, bound, count
 
 
+def sendings(x: np.ndarray, sp: Space, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, group) of the data vectors that may be among a group's neighbours."""
+    if sp.kind is object:
+        return np.nonzero(np.broadcast_to(reach >= 0, (len(x), len(reach))))
+    return np.nonzero(distances(lifted(x, sp.radius2), sp.centres) <= reach[None])
+
+
 def top_products(embeddings: DataFrame, k: int = 20, scale: float = 64.0, is_query: F.Column | None = None) -> DataFrame:
     """The k greatest integer inner products of each query with all other vectors.
 
@@ -135,45 +177,58 @@ def top_products(embeddings: DataFrame, k: int = 20, scale: float = 64.0, is_que
     schema = "query_id long, rank int, vec_id long, score long"
     is_query = F.col("vec_id") % 20 == 0 if is_query is None else is_query
     data = materialise(scaled(embeddings, scale), "vectors")
-    queries = data.filter(is_query)
+    every = data.filter(is_query)
+    has_length = F.exists("x", lambda v: v != 0)
+    queries, zero = every.filter(has_length), every.filter(~has_length)
     n = data.count()
     if not n:
         return embeddings.sparkSession.createDataFrame([], schema)
-    sp = space(data)
-    wide, bound, n_queries = summaries(data, queries, sp, k + 1)  # the query itself is among the data
+    sp = space(data, queries)
+    if sp.kind is not object:
+        wide, bound, n_queries = summaries(data, queries, sp, k + 1)  # the query itself is among the data
+        slack = 1e-6 * (1 + np.sqrt(sp.radius2))
+    else:
+        wide, bound, n_queries, slack = np.zeros(1), np.full(1, np.inf), np.array([queries.count()]), 0.0
     chunks = np.maximum(1, -(-n_queries // QUERY_CHUNK))
     blocks = max(1, -(-n // DATA_BLOCK))
-    slack = 1e-9 * (1 + np.sqrt(sp.radius2) + wide.max())
     reach = np.where(n_queries > 0, bound + wide + slack, -1.0)
 
     def place_data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = distances(matrix(batch.column("x"), sp.dim), sp, False)
-            row, group = np.nonzero(d <= reach[None])
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), batch.column("x").take(pa.array(row)), pa.array(group, pa.int32())], ["vec_id", "x", "grp"])
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                row, group = sendings(matrix(part.column("x"), sp.dim), sp, reach)
+                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(pa.array(row)), part.column("x").take(pa.array(row)), pa.array(group, pa.int32())], ["vec_id", "x", "grp"])
 
     def place_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = distances(matrix(batch.column("x"), sp.dim), sp, True)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array(d.argmin(1), pa.int32())], ["vec_id", "x", "grp"])
+            x = matrix(batch.column("x"), sp.dim)
+            group = distances(stretched(x, sp.radius2), sp.centres).argmin(1) if sp.kind is not object else np.zeros(len(x), int)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array(group, pa.int32())], ["vec_id", "x", "grp"])
 
     def compare(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(s):
             s = s.sort_values("vec_id")
             ids = s.vec_id.to_numpy()
-            kind = float if sp.exact else np.int64
-            a, b = (matrix(pa.array(f.x, pa.list_(pa.float64())), sp.dim).astype(kind) for f in (q, s))
+            a, b = (matrix(pa.array(f.x, pa.list_(pa.float64())), sp.dim) for f in (q, s))
+            if sp.kind is object:  # whole numbers of any size
+                a, b = (np.array([[int(v) for v in row] for row in m], object).reshape(m.shape) for m in (a, b))
+            else:
+                a, b = a.astype(sp.kind), b.astype(sp.kind)
             for i in range(0, len(q), 256):
                 product = a[i : i + 256] @ b.T
+                if sp.kind is object:
+                    product = np.minimum(np.maximum(product, -(2**63)), 2**63 - 1)
+                product = product.astype(np.int64)
                 for row, own in zip(product, q.vec_id.to_numpy()[i : i + 256], strict=True):
                     at = np.flatnonzero(ids != own)
                     values = row[at]
                     if len(at) > k:
                         least = np.partition(values, len(at) - k)[len(at) - k]
                         at, values = at[values >= least], values[values >= least]
-                    best = np.argsort(-values, kind="stable")[:k]
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[at[best]], "score": values[best].astype(np.int64)}))
+                    best = np.argsort(~values, kind="stable")[:k]
+                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[at[best]], "score": values[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     group = "vec_id long, x array<double>, grp int"
@@ -183,5 +238,8 @@ def top_products(embeddings: DataFrame, k: int = 20, scale: float = 64.0, is_que
     q = queries.mapInArrow(place_queries, group).withColumn("chunk", chunk).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["grp", "chunk", "block"]
     found = q.groupBy(*keys).cogroup(s.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score long")
+    first = [r.vec_id for r in data.orderBy("vec_id").limit(k + 1).collect()]  # all that a query without length can have
+    none = zero.select(F.col("vec_id").alias("query_id"), F.explode(F.lit(first)).alias("vec_id"), F.lit(0).cast("long").alias("score")).filter("query_id <> vec_id")
+    found = found.union(none)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
