@@ -11,7 +11,7 @@ from skyloom.llm.common import table
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
-    return prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_leaves", "edited_spans")
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
