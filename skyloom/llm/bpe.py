@@ -13,7 +13,7 @@ batch around it is cut by bytes.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -28,7 +28,7 @@ from skyloom.llm.common import map_arrow, slices
 #: Pre-token pattern of the public byte-level vocabulary (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker keeps before it starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 150_000
 
 
 def default_tokenizer() -> str:
@@ -194,10 +194,9 @@ def bpe_encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     shared = tokenizer_file(docs, path)
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(shared.value)
-        n_tokens, ids, decoded = [], [], []
-        for part in slices(batch, "text"):
+        for part in (part for batch in batches for part in slices(batch, "text")):
             if len(bpe.index) > KEPT_WORDS:
                 bpe.forget()
             pieces = [bpe.pieces(t or "") for t in part.column("text").to_pylist()]
@@ -208,13 +207,12 @@ def bpe_encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
             raw = gather(bpe.token_bytes, bpe.token_at, flat)
             bytes_at = np.concatenate([[0], np.cumsum(bpe.token_at[flat + 1] - bpe.token_at[flat])])[tokens_at].tolist()
             data = raw.tobytes()
-            n_tokens += np.diff(tokens_at).tolist()
-            ids.append(pa.ListArray.from_arrays(pa.array(tokens_at, pa.int32()), pa.array(flat, pa.int32())))
-            decoded += [data[i:j].decode("utf-8", "replace") for i, j in zip(bytes_at[:-1], bytes_at[1:], strict=True)]
-        out = [batch.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.concat_arrays(ids), pa.array(decoded, pa.string())]
-        return pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids", "decoded"])
+            decoded = [data[i:j].decode("utf-8", "replace") for i, j in zip(bytes_at[:-1], bytes_at[1:], strict=True)]
+            ids = pa.ListArray.from_arrays(pa.array(tokens_at, pa.int32()), pa.array(flat, pa.int32()))
+            out = [part.column("doc_id"), pa.array(np.diff(tokens_at), pa.int64()), ids, pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), one, "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def bpe_digests(encoded: DataFrame) -> DataFrame:
