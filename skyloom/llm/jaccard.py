@@ -421,5 +421,7 @@ def rest_of_large(large: DataFrame, group: DataFrame, tested: DataFrame, nodes:
 
 def one_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of docs that are the smallest doc_id of their group; rows without doc_id stay."""
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    kept = rows.join(keep, F.col("row.doc_id").cast("long") == F.col("kept"), "left_semi").select("row.*")
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

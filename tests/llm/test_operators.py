@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -134,11 +135,11 @@ def brute_removed(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize(("most", "crowd"), [(1000, 10**6), (2, 10**6), (2, 3)])
-def test_suffix_dedup(docs, rows, monkeypatch, most, crowd):
+@pytest.mark.parametrize(("most", "sample", "frequent"), [(1000, 16, 32), (2, 16, 32), (1000, 1, 2), (1, 1, 3)])
+def test_suffix_dedup(docs, rows, monkeypatch, most, sample, frequent):
     monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", most)
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
-    monkeypatch.setattr(suffix_dedup, "SORTED_WINDOWS", 500)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", sample)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
     got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect()}
     assert got == brute_removed(rows)
 
@@ -190,6 +191,15 @@ def test_edit_aware_counts(spark, empty):
     assert bpe.token_counts(empty.withColumn("edits", F.lit(None).cast(edits))).count() == 0
 
 
+def brute_likeness(t, u):
+    """Jaccard likeness of the texts' segments, by bytes and with repeats."""
+    if t == u:
+        return 1.0
+    x, y = (Counter(p for line in s.encode().splitlines(keepends=True) for p in fingerprints.SEGMENT.findall(line) if p) for s in (t, u))
+    both = sum(min(n, y[p]) * len(p) for p, n in x.items())
+    return both / (len(t.encode()) + len(u.encode()) - both)
+
+
 def test_fingerprints(docs, rows, spark, empty):
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
     texts = [t or "" for _, t, *_ in rows]
@@ -198,6 +208,8 @@ def test_fingerprints(docs, rows, spark, empty):
         edited = t[: len(t) - cut] + following[:cut]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert got[i].near_edited == 1 if edited == t else 0 <= got[i].near_edited < 1
+        assert math.isclose(got[i].near_edited, brute_likeness(t, edited), abs_tol=1e-8)
+        assert math.isclose(got[i].near_next, brute_likeness(t, following), abs_tol=1e-8)
     for i, t in enumerate(texts):
         for j, u in enumerate(texts):
             assert (got[i].fingerprint == got[j].fingerprint) == (t == u)
@@ -208,6 +220,17 @@ def test_fingerprints(docs, rows, spark, empty):
     assert [r.doc_id for r in fingerprints.fingerprints(odd).collect()].count(2) == 2
 
 
+def test_fingerprints_of_far_ids_and_long_texts(spark):
+    ids = [-(2**63), -5, 0, 1, 2, 3, 4, 10**15, 2**63 - 1]
+    rows = [(i, f"text number {k}. It has {k} parts.\n" * (k + 1) if i else LONG, "x", 1) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket string, head int")
+    got = {r.doc_id: r for r in fingerprints.fingerprints(df).collect()}
+    assert set(got) == set(ids)
+    for k, (i, t, *_) in enumerate(rows):
+        cut, following = len(t) // 4, rows[(k + 1) % len(rows)][1]
+        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - cut] + following[:cut]).encode()).hexdigest()
+
+
 def test_merkle_branches():
     text = "\n".join(f"Line {i} of the text. It has two sentences." for i in range(200))
     a, b = fingerprints.merkle_tree(text), fingerprints.merkle_tree(text.replace("Line 77 of", "Line 77 off"))
@@ -237,21 +260,107 @@ def test_top_products(spark):
     assert knn.top_products(df.filter("vec_id = 20")).count() == 0
 
 
+def test_top_products_of_any_size(spark):
+    """Queries without length, products beyond a double's whole numbers, beyond 64 bits and beyond a double."""
+    for far in (2.0**24, 2.0**40, 1e200):
+        rows = [(i, [far * (1 + i % 7), -3.0 * i, 0.25 * (i % 3)]) for i in range(60)] + [(80, [0.0, 0.0, 0.0]), (81, [0.0])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        own = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+        got = {}
+        for r in knn.top_products(df).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        assert set(got) == {0, 20, 40, 80}
+        for q in got:
+            held = lambda p: min(max(p, -(2**63)), 2**63 - 1)
+            s = sorted((-held(sum(a * b for a, b in zip(own[q], own[o]))), o) for o in own if o != q)[:20]
+            assert sorted(got[q]) == [(k + 1, o, -p) for k, (p, o) in enumerate(s)]
+
+
+def test_clusters_are_pruned(spark):
+    """On clustered vectors at most half of the pairs of query group and vector are sent."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(30, 16))
+    x = np.floor(64 * (centres[np.arange(3000) % 30] + 0.05 * rng.normal(size=(3000, 16))))
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, x array<double>")
+    queries = data.filter("vec_id % 20 = 0")
+    sp = knn.space(data, queries)
+    wide, bound, n = knn.summaries(data, queries, sp, 21)
+    row, group = knn.sendings(x, sp, np.where(n > 0, bound + wide, -1.0))
+    assert n[group].sum() <= 0.5 * len(x) * n.sum()
+
+
+def brute_targets(sizes, weights=(5.0, 2.0, 1.0), most=3):
+    """Targets of sources in code point order (null last), by sharing again until no source is above its cap."""
+    order = sorted(sizes, key=lambda k: (k is None, k or ""))
+    weight = {k: weights[i % len(weights)] for i, k in enumerate(order)}
+    full, total = set(), sum(sizes.values())
+    while True:
+        rest = total - sum(most * sizes[k] for k in full)
+        open_ = [k for k in order if k not in full]
+        share = {k: rest * weight[k] / sum(weight[j] for j in open_) for k in open_}
+        over = {k for k in open_ if share[k] > most * sizes[k]}
+        if not over:
+            return {k: most * sizes[k] if k in full else share[k] for k in order}
+        full |= over
+
+
+def brute_rate(size, sizes, target, most=3.0):
+    """exp(tilt * size), at most `most`, with the tilt at which the source's words meet the target, by bisection."""
+    if target >= most * sizes.sum() * (1 - 1e-6):
+        return most
+    low, high = -60.0 / sizes.min(), 60.0 / sizes.min()
+    for _ in range(300):
+        mid = (low + high) / 2
+        words = (np.minimum(np.exp(np.minimum(mid * sizes, 60)), most) * sizes).sum()
+        low, high = (mid, high) if words < target else (low, mid)
+    return min(most, math.exp(min(low * size, 60)))
+
+
 def test_mixing(docs, rows, spark, empty):
     got = mixing.mix(docs).collect()
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows}
-    total = sum(size.values())
     assert {r.doc_id: r.size for r in got} == size
-    assert math.isclose(sum({r.source: r.target for r in got}.values()), total)
-    for source in ("s0", "s1", "s2"):
-        of = [r for r in got if r.source == source]
-        assert abs(sum(r.taken for r in of) - of[0].target) <= max(30, 0.02 * of[0].target)
-        assert all(r.taken == r.copies * r.size <= 3 * r.size for r in of)
-    assert mixing.water_fill(np.array([10, 100, 100]), np.array([5.0, 2.0, 1.0]), 3).tolist() == [30.0, 120.0, 60.0]
-    odd = spark.createDataFrame([(1, None, None), (2, "a b", None), (2, "a b", None), (None, "a", "z")], "doc_id long, text string, source string")
-    assert sum(r.size for r in mixing.mix(odd).collect()) == 5
-    assert mixing.mix(empty).count() == 0
+    of = {s: np.array([size[i] for i, _, _, x, *_ in rows if x == s]) for s in ("s0", "s1", "s2")}
+    target = brute_targets({s: int(x.sum()) for s, x in of.items()})
+    for r in got:
+        assert r.source_size == of[r.source].sum() and math.isclose(r.target, target[r.source], rel_tol=1e-9)
+        sizes = of[r.source]
+        assert not r.size or math.isclose(r.rate, brute_rate(r.size, sizes[sizes > 0], r.target), rel_tol=1e-3)
+    for source in of:
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - target[source]) <= max(30, 0.02 * target[source])
+        assert all(r.taken == r.copies * r.size <= 3 * r.size for r in own)
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert sorted((r.doc_id, r.copies) for r in again) == sorted((r.doc_id, r.copies) for r in got)
+
+
+def test_mixing_targets_with_caps(spark):
+    sizes = {"a": 10, "b": 100, "c": 100, "d": 3, "B": 40, "é": 500, None: 7, "z0": 0}
+    rows = [(k, s, 1) for k, s in sizes.items()]
+    found = mixing.source_targets(spark.createDataFrame(rows, "source string, size long, docs long")).collect()
+    want = brute_targets(sizes)
+    assert {r.source: r.source_size for r in found} == sizes
+    assert all(math.isclose(r.target, want[r.source], rel_tol=1e-9, abs_tol=1e-9) for r in found)
+
+
+def test_mixing_edges(spark, empty):
+    odd = spark.createDataFrame([(1, None, None), (2, "a b", None), (2, "a b", None), (None, "a", "z"), (3, LONG, "z"), (3, "x", "z")], "doc_id long, text string, source string")
+    got = mixing.mix(odd).collect()
+    assert sum(r.size for r in got) == 6 + 30_000 and len(got) == 6
+    assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).columns == empty.columns
     assert mixing.mix(odd.filter("text is null")).first().taken == 0
+    # rows that repeat a doc_id are taken as often as each on its own
+    wide = odd.withColumns({"size": F.lit(1), "mark_of": F.lit(2), "copies": F.lit(3), "_id": F.lit(4)})
+    whole = mixing.mixed(wide)
+    assert whole.columns == wide.columns
+    words_of = lambda t: len((t or "").split())
+    taken = {}
+    for r in got:
+        taken[(r.doc_id, r.size)] = taken.get((r.doc_id, r.size), 0) + r.copies
+    seen = {}
+    for r in whole.collect():
+        seen[(r.doc_id, words_of(r.text))] = seen.get((r.doc_id, words_of(r.text)), 0) + 1
+    assert seen == {k: n for k, n in taken.items() if n}
 
 
 def labelled(spark, n=400):
