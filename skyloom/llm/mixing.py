@@ -42,7 +42,7 @@ from skyloom.llm.common import materialise, partitions, slices, unused, utf8
 #: No document is taken more often.
 MOST_COPIES = 3
 #: Documents of one rounding bucket, about.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 4_000
 #: Steps at most, and the relative error of a source's words at which they end.
 NEWTON_STEPS = 60
 CLOSE = 1e-6
