@@ -79,12 +79,10 @@ def event_columns(rows: DataFrame) -> DataFrame:
 
 STATES = f"""{OBJ}, st AS (SELECT norad_id, step, r, n, radians(u0_deg) + n * (step * 60) u, radians(raan_deg) om, radians(inclination_deg) inc FROM
   (SELECT *, 6378.137::DOUBLE + (perigee_km + apogee_km) / 2 r, sqrt(398600.4418::DOUBLE / pow(6378.137::DOUBLE + (perigee_km + apogee_km) / 2, 3)) n FROM obj), range(0, 121) g(step)),
- xyz AS (SELECT norad_id, step, r * (cos(om) * cos(u) - sin(om) * sin(u) * cos(inc)) x, r * (sin(om) * cos(u) + cos(om) * sin(u) * cos(inc)) y, r * sin(u) * sin(inc) z,
+ xyz AS MATERIALIZED (SELECT norad_id, step, r * (cos(om) * cos(u) - sin(om) * sin(u) * cos(inc)) x, r * (sin(om) * cos(u) + cos(om) * sin(u) * cos(inc)) y, r * sin(u) * sin(inc) z,
   r * n * (-cos(om) * sin(u) - sin(om) * cos(u) * cos(inc)) vx, r * n * (-sin(om) * sin(u) + cos(om) * cos(u) * cos(inc)) vy, r * n * cos(u) * sin(inc) vz FROM st)"""
 BAND = "a.k < b.k AND a.perigee_km - b.apogee_km <= {p} AND b.perigee_km - a.apogee_km <= {p}"
-#: The SQL below looks only at ids that differ by up to 12; the queries look at every pair in band.
-NEAR_IDS = 12
-REL = f"""{STATES}, prs AS (SELECT a.norad_id pid, b.norad_id sid FROM obj a JOIN obj b ON {BAND.format(p="100")} AND b.k - a.k <= {NEAR_IDS}),
+REL = f"""{STATES}, prs AS MATERIALIZED (SELECT a.norad_id pid, b.norad_id sid FROM obj a JOIN obj b ON {BAND.format(p="100")}),
  rel AS (SELECT pid, sid, a.step, b.x - a.x dx, b.y - a.y dy, b.z - a.z dz, b.vx - a.vx dvx, b.vy - a.vy dvy, b.vz - a.vz dvz, a.x, a.y, a.z, a.vx, a.vy, a.vz FROM prs JOIN xyz a ON a.norad_id = pid JOIN xyz b ON b.norad_id = sid AND b.step = a.step)"""
 CHORD = f"""{REL}, seg AS (SELECT *, lead(dx) OVER w - dx u, lead(dy) OVER w - dy v, lead(dz) OVER w - dz ww FROM rel WINDOW w AS (PARTITION BY pid, sid ORDER BY step)),
  sg AS (SELECT *, dx*dx+dy*dy+dz*dz aa, dx*u+dy*v+dz*ww ad, u*u+v*v+ww*ww dd FROM seg),
@@ -98,8 +96,8 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel.circular_states(synthetic.objects(spark, sf_dir), 2, 60)
 
 
-def relative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return funnel.separations(funnel.band_pairs(synthetic.objects(spark, sf_dir)), states(spark, sf_dir))
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnel.pair_tracks(funnel.band_pairs(synthetic.objects(spark, sf_dir)), states(spark, sf_dir))
 
 
 # --- parsing and derivation ----------------------------------------------------------------------
@@ -140,7 +138,7 @@ def pair_validation(spark, sf_dir):
     return synthetic.records(spark, sf_dir).select("k", tle.pair_ok(F.col("line1"), F.col("line2")).alias("ok"))
 
 
-@query(f"WITH {TLES} SELECT k, round({AXIS}, 4) sma_km, round({AXIS} * (1 - {ECC}) - 6378.137, 4) perigee_km, round({AXIS} * (1 + {ECC}) - 6378.137, 4) apogee_km FROM tles WHERE k % 13 <> 0")
+@query(f"WITH {TLES} SELECT k, round({AXIS}, 4) sma_km, round({AXIS} * (1 - {ECC}) - 6378.137, 4) perigee_km, round({AXIS} * (1 + {ECC}) - 6378.137, 4) apogee_km FROM tles")
 def derive_geometry(spark, sf_dir):
     p = tle.parse(synthetic.records(spark, sf_dir), now())
     return p.select("k", F.round(tle.semi_major_axis(F.col("mean_motion")), 4).alias("sma_km"), F.round("perigee_km", 4).alias("perigee_km"), F.round("apogee_km", 4).alias("apogee_km"))
@@ -228,7 +226,7 @@ def two_body_ephemeris(spark, sf_dir):
 
 @query(f"WITH {REL} SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, round(sqrt(min(dx*dx + dy*dy + dz*dz)), 4) min_separation_km FROM rel GROUP BY ALL")
 def pair_min_separation(spark, sf_dir):
-    return funnel.min_separation(relative(spark, sf_dir)).select("primary_norad_id", "secondary_norad_id", F.round("min_separation_km", 4).alias("min_separation_km"))
+    return funnel.min_separation(tracks(spark, sf_dir)).select("primary_norad_id", "secondary_norad_id", F.round("min_separation_km", 4).alias("min_separation_km"))
 
 
 @query(
@@ -249,7 +247,7 @@ def coarse_filter(spark, sf_dir):
 
 @query(f"WITH {CHORD} SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, step::INT step, round(sqrt(bound2), 3) bound_km FROM bound")
 def chord_bound(spark, sf_dir):
-    return funnel.chord_bound(relative(spark, sf_dir)).select("primary_norad_id", "secondary_norad_id", "step", F.round(F.sqrt("bound2"), 3).alias("bound_km"))
+    return funnel.chord_bound(tracks(spark, sf_dir)).select("primary_norad_id", "secondary_norad_id", "step", F.round(F.sqrt("bound2"), 3).alias("bound_km"))
 
 
 @query(
@@ -257,24 +255,24 @@ def chord_bound(spark, sf_dir):
  SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, step::INT step, round(sqrt(bound2), 3) bound_km FROM m WHERE bound2 < p AND bound2 <= n AND bound2 <= 1000000"""
 )
 def local_minima(spark, sf_dir):
-    found = funnel.local_minima(funnel.chord_bound(relative(spark, sf_dir)), "bound2", 1_000_000.0)
+    found = funnel.local_minima(funnel.bounds(tracks(spark, sf_dir)), "bounds", "bound2", 1_000_000.0)
     return found.select("primary_norad_id", "secondary_norad_id", "step", F.round(F.sqrt("bound2"), 3).alias("bound_km"))
 
 
-@query(f"WITH {REL} SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, step::INT step, round((dx*dvx + dy*dvy + dz*dvz) / sqrt(dx*dx + dy*dy + dz*dz), 5) rate FROM rel WHERE step % 10 = 0")
+@query(f"WITH {REL} SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, step::INT step, round((dx*dvx + dy*dvy + dz*dvz) / sqrt(dx*dx + dy*dy + dz*dz), 5) rate FROM rel")
 def range_rate(spark, sf_dir):
     d, v = tuple(map(F.col, ("dx", "dy", "dz"))), tuple(map(F.col, ("dvx", "dvy", "dvz")))
-    return relative(spark, sf_dir).select("primary_norad_id", "secondary_norad_id", "step", F.round(frames.range_rate(d, v), 5).alias("rate"))
+    return funnel.separations(tracks(spark, sf_dir)).select("primary_norad_id", "secondary_norad_id", "step", F.round(frames.range_rate(d, v), 5).alias("rate"))
 
 
 @query(
-    f"""WITH {REL}, n AS (SELECT *, y*vz - z*vy nx, z*vx - x*vz ny, x*vy - y*vx nz FROM rel WHERE step % 10 = 0), t AS (SELECT *, ny*z - nz*y tx, nz*x - nx*z ty, nx*y - ny*x tz, sqrt(x*x+y*y+z*z) rn, sqrt(nx*nx+ny*ny+nz*nz) nn FROM n)
+    f"""WITH {REL}, n AS (SELECT *, y*vz - z*vy nx, z*vx - x*vz ny, x*vy - y*vx nz FROM rel), t AS (SELECT *, ny*z - nz*y tx, nz*x - nx*z ty, nx*y - ny*x tz, sqrt(x*x+y*y+z*z) rn, sqrt(nx*nx+ny*ny+nz*nz) nn FROM n)
  SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, step::INT step, round((x*dx+y*dy+z*dz)/rn, 3) radial_km, round((tx*dx+ty*dy+tz*dz)/(rn*nn), 3) in_track_km, round((nx*dx+ny*dy+nz*dz)/nn, 3) cross_track_km FROM t"""
 )
 def rtn_components(spark, sf_dir):
     r, v, d = (tuple(map(F.col, c)) for c in (("x", "y", "z"), ("vx", "vy", "vz"), ("dx", "dy", "dz")))
     parts = frames.rtn(r, v, d)
-    return relative(spark, sf_dir).select("primary_norad_id", "secondary_norad_id", "step", *(F.round(p, 3).alias(f"{n}_km") for p, n in zip(parts, ("radial", "in_track", "cross_track"), strict=True)))
+    return funnel.separations(tracks(spark, sf_dir)).select("primary_norad_id", "secondary_norad_id", "step", *(F.round(p, 3).alias(f"{n}_km") for p, n in zip(parts, ("radial", "in_track", "cross_track"), strict=True)))
 
 
 # --- scoring -------------------------------------------------------------------------------------
@@ -526,9 +524,13 @@ def antimeridian_split(spark, sf_dir):
 SOUGHT = {"view": "click", "click": "purchase", "purchase": "signup", "signup": "error", "error": "view"}
 
 
+NEXT_TYPE = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SOUGHT.items()) + " END"
+
+
 @query(
-    """WITH s AS (SELECT event_type et, epoch(ts) t, min(event_id) sample_id FROM events WHERE event_id % 5 = 0 GROUP BY 1, 2), q AS (SELECT event_type et, event_id, epoch(ts) target FROM events WHERE event_id % 50 = 7),
- m AS (SELECT event_id, t, sample_id, abs(t - target) gap, row_number() OVER (PARTITION BY event_id ORDER BY abs(t - target), t) n FROM q JOIN s USING (et))
+    f"""WITH s AS (SELECT event_type et, epoch(ts) t, min(event_id) sample_id FROM events GROUP BY 1, 2), q AS (SELECT {NEXT_TYPE} et, event_id, epoch(ts) target FROM events),
+ before AS (SELECT event_id, target, t, sample_id FROM q ASOF JOIN s ON q.et = s.et AND q.target >= s.t), after AS (SELECT event_id, target, t, sample_id FROM q ASOF JOIN s ON q.et = s.et AND q.target <= s.t),
+ m AS (SELECT event_id, sample_id, abs(t - target) gap, row_number() OVER (PARTITION BY event_id ORDER BY abs(t - target), t) n FROM (SELECT * FROM before UNION ALL SELECT * FROM after))
  SELECT event_id, sample_id, round(gap, 3) gap_s, gap > 3600 far FROM m WHERE n = 1"""
 )
 def asof_nearest(spark, sf_dir):
@@ -540,7 +542,7 @@ def asof_nearest(spark, sf_dir):
     return events.nearest_sample(targets, samples, "event_type").select("event_id", "sample_id", F.round("gap_s", 3).alias("gap_s"), "far")
 
 
-@query(f"WITH {EV} SELECT event_no, (g.i * 10 - 60)::INT offset_s, round(miss + abs((g.i * 10 - 60) / 60.0::DOUBLE) * speed * 6.0::DOUBLE, 3) separation_km FROM ev, range(0, 13) g(i) WHERE event_no % 100 = 1")
+@query(f"WITH {EV} SELECT event_no, (g.i * 10 - 60)::INT offset_s, round(miss + abs((g.i * 10 - 60) / 60.0::DOUBLE) * speed * 6.0::DOUBLE, 3) separation_km FROM ev, range(0, 13) g(i)")
 def straight_line_geometry(spark, sf_dir):
     return events.straight_line_geometry(ev(spark, sf_dir)).select(F.col("event_id").alias("event_no"), "offset_s", "separation_km")
 
@@ -555,8 +557,9 @@ def relative_label(spark, sf_dir):
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN o_custkey * 1000 >= 1000000 THEN printf('%.1f', o_custkey * 1000 / pow(10, floor(log10(o_custkey * 1000.0) + 1e-12))) || 'e' || floor(log10(o_custkey * 1000.0) + 1e-12)::INT ELSE printf('%,d', o_custkey * 1000) END AS label,
- (o_custkey % 200) || ' h' AS hours FROM orders WHERE o_custkey % 100 <> 0 AND (o_custkey * 1000 < 1000000 OR o_custkey % 100 NOT IN (5, 15, 25, 35, 45, 55, 65, 75, 85, 95, 50))"""
+    """WITH x AS (SELECT o_orderkey, o_custkey, o_custkey * 1000 n, length(CAST(o_custkey * 1000 AS VARCHAR)) - 1 e FROM orders), y AS (SELECT *, (n + 5 * CAST(pow(10, e - 2) AS BIGINT)) // CAST(pow(10, e - 1) AS BIGINT) tenths FROM x WHERE n >= 1000000),
+ z AS (SELECT o_orderkey, o_custkey, CASE WHEN tenths = 100 THEN '1.0e' || (e + 1) ELSE (tenths // 10) || '.' || (tenths % 10) || 'e' || e END AS label FROM y UNION ALL SELECT o_orderkey, o_custkey, printf('%,d', n) FROM x WHERE n < 1000000)
+ SELECT o_orderkey, label, (o_custkey % 200) || ' h' AS hours FROM z"""
 )
 def compact_count(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -655,13 +658,11 @@ EPOCH_2024 = 1704067200.0
 SCREENING_HOURS = 72.0
 
 
-def screen(spark: SparkSession, sf_dir: str, source: str = "supplier", hours: float = SCREENING_HOURS, threshold_km: float = 100.0) -> DataFrame:
-    """Band join and three-pass screen of the synthetic element sets."""
+def screen(spark: SparkSession, sf_dir: str, source: str = "supplier", counts: bool = False) -> DataFrame:
+    """The screen at its production settings: 72 h, every 60 s, 10 km, all pairs in band."""
     from skyloom.operators import screening
 
-    p = parsed(spark, sf_dir, source)
-    pairs = funnel.band_pairs(catalog.build_objects(p))
-    return screening.fine_screen(p, pairs, EPOCH_2024, hours, threshold_km)
+    return screening.fine_screen(parsed(spark, sf_dir, source), None, EPOCH_2024, SCREENING_HOURS, counts=counts)
 
 
 @query()
@@ -675,7 +676,7 @@ def fine_screen(spark, sf_dir):
 def screening_counts(spark, sf_dir):
     from skyloom.operators import screening
 
-    return screening.pass_counts(screen(spark, sf_dir))
+    return screening.pass_counts(screen(spark, sf_dir, counts=True))
 
 
 @query()

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from skyloom.functions import tle
 from skyloom.operators.catalog import build_objects, first_of, split_records
 from skyloom.operators.events import MOST_ROWS, score_approaches
-from skyloom.operators.funnel import band_pairs
 from skyloom.operators.screening import approaches, fine_screen, pass_counts
 from skyloom.sources.snapshots import parse_names
 
@@ -32,7 +31,7 @@ def screen_snapshot(snapshot: DataFrame, start: Column | None, hours: float, thr
     if objects.limit(2).count() < 2:
         return None
     start_s = snapshot.sparkSession.range(1).select(F.unix_micros(now) / 1e6).first()[0]
-    screened = fine_screen(parsed, band_pairs(objects), start_s, hours, threshold_km).persist()
+    screened = fine_screen(parsed, None, start_s, hours, threshold_km, counts=True).persist()
     events = score_approaches(approaches(screened), objects, now, F.lit(str(at)))
     return objects, events, pass_counts(screened)
 

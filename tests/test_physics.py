@@ -123,6 +123,72 @@ def test_fine_screen_finds_what_a_finer_grid_finds(spark):
     assert np.allclose(np.sort(again.miss_distance_km), np.sort(found.miss_distance_km), atol=1e-3)
 
 
+def dense_minima(rows, start, hours, limit, step=4.0):
+    """(id, id, time, distance) of the sampled minima under the limit of all pairs, on a dense grid."""
+    times = start + np.arange(0, hours * 3600 + 1, step)
+    el = screening.elements_of(rows.assign(epoch_s=start))
+    p = np.stack([sgp4.propagate(el.at(slice(k, k + 1)), (times - start) / 60)[0] for k in range(len(rows))])
+    out = []
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            d = np.linalg.norm(p[j] - p[i], axis=1)
+            low = np.flatnonzero((d[1:-1] < d[:-2]) & (d[1:-1] <= d[2:]) & (d[1:-1] < limit)) + 1
+            out += [(int(rows.norad_id[i]), int(rows.norad_id[j]), times[k], d[k]) for k in low]
+    return out
+
+
+def test_production_screen_and_its_counts(spark):
+    """72 h, 60 s, 10 km with the band filter: every approach of a dense grid, from blocks of any size, and counts that nest."""
+    parsed = synthetic(spark, 30).withColumns({"perigee_km": F.lit(500.0) + F.col("norad_id") % 2 * 40, "apogee_km": F.lit(560.0)}).cache()
+    start = 1704067200.0
+    screened = screening.fine_screen(parsed, None, start, 72.0, counts=True, block_objects=11).cache()
+    found = screening.approaches(screened).toPandas()
+    at = (found.tca - pd.Timestamp("1970-01-01")).dt.total_seconds().to_numpy()
+    truth = dense_minima(parsed.toPandas(), start, 72.0, 9.5)
+    assert len(truth) > 5
+    for a, b, t, d in truth:
+        near = (found.primary_norad_id == a) & (found.secondary_norad_id == b) & (np.abs(at - t) < 8)
+        assert near.any() and found.miss_distance_km[near].min() <= d + 1e-3
+    assert found.miss_distance_km.max() < 10 and np.allclose(np.sqrt(found.radial_km**2 + found.in_track_km**2 + found.cross_track_km**2), found.miss_distance_km, atol=1e-6)
+    n = {r.stage: r.n for r in screening.pass_counts(screened).collect()}
+    assert n["usable"] == 30 and n["candidates"] == 30 * 29 // 2 and n["approach"] == len(found)
+    assert n["candidates"] >= n["pass1"] >= n["pass2"] >= len(found.groupby(["primary_norad_id", "secondary_norad_id"]))
+    one = screening.approaches(screening.fine_screen(parsed, None, start, 72.0)).count()
+    assert one == len(found)
+
+
+def test_pass_counts_are_those_of_all_chords(spark):
+    parsed = synthetic(spark, 14).withColumns({"perigee_km": F.lit(500.0), "apogee_km": F.lit(500.0)})
+    start, hours = 1704067200.0, 5.0
+    n = {r.stage: r.n for r in screening.pass_counts(screening.fine_screen(parsed, None, start, hours, counts=True)).collect()}
+    rows, times = parsed.toPandas(), screening.grid(start, hours, 60, padded=True)
+    p = sgp4.propagate(sgp4.Elements(*(x[:, None] for x in screening.elements_of(rows.assign(epoch_s=start)))), (times[None] - start) / 60)[0].astype(np.float32)
+    want = {"pass1": 0, "pass2": 0}
+    coarse = np.unique(np.append(np.arange(0, len(times), 5), len(times) - 1))
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            d = p[j] - p[i]
+            want["pass1"] += bool(screening.chord2(d[coarse][:-1], d[coarse][1:]).min() <= 250.0**2)
+            want["pass2"] += bool(screening.chord2(d[:-1], d[1:]).min() <= 22.0**2)
+    assert n["pass1"] == want["pass1"] > n.get("pass2", 0) == want["pass2"]
+
+
+def test_closest_approach_of_any_pair(spark):
+    parsed = synthetic(spark, 4)
+    start, hours = 1704067200.0, 3.0
+    pairs = spark.createDataFrame([(10000, 10001), (10003, 10002), (10000, 77)], "primary_norad_id int, secondary_norad_id int")
+    got = {(r.primary_norad_id, r.secondary_norad_id): r.miss_distance_km for r in screening.closest_approaches(parsed, pairs, start, hours).collect()}
+    rows = parsed.toPandas()
+    times = np.arange(60.0, hours * 3600 - 59, 1.0)
+    p = sgp4.propagate(sgp4.Elements(*(x[:, None] for x in screening.elements_of(rows.assign(epoch_s=start)))), times[None] / 60)[0]
+    assert got[(10000, 77)] is None
+    for a, b in ((10000, 10001), (10003, 10002)):
+        least = np.linalg.norm(p[b - 10000] - p[a - 10000], axis=1).min()
+        assert abs(got[(a, b)] - least) < 8  # the least sample's neighbourhood, refined
+    eph = screening.ephemeris(parsed, start, 1)
+    assert [tuple(r) for r in screening.skipped_candidates(pairs, eph).collect()] == [(10000, 77, "unknown object")]
+
+
 def test_chord_pads():
     assert funnel.chord_pad_km(60) == 12 and funnel.chord_pad_km(300) == 240 and abs(funnel.chord_pad_km(120) - 48) < 1e-9
 
