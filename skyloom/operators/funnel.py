@@ -234,3 +234,8 @@ def funnel_rates(counts: DataFrame) -> DataFrame:
     return counts.withColumns(
         {"survival": ratio("survivors", "total"), "pass1_rate": ratio("pass1", "survivors"), "pass2_rate": ratio("pass2", "pass1"), "event_rate": ratio("events", "pass2"), "events_per_pair": ratio("events", "total")}
     )
+
+
+def growth_exponents(counts: DataFrame, stages: tuple[str, ...] = ("survivors", "pass1", "pass2", "events")) -> DataFrame:
+    """How each stage grows with the number of pairs: the slope of its logarithm over that of total, a column each."""
+    return counts.agg(*(F.regr_slope(F.log(c), F.log("total")).alias(f"{c}_exponent") for c in stages))

@@ -404,12 +404,13 @@ FIT = ("survivors", "pass1", "pass2", "events")
 
 @query(f"SELECT {', '.join(f'round(regr_slope(ln({c}), ln(total)), 6) {c}_exponent' for c in FIT)} FROM ({COUNTS}) t(n, total, survivors, pass1, pass2, events)")
 def loglog_fit(spark, sf_dir):
-    return published_counts(spark).agg(*(F.round(F.regr_slope(F.log(c), F.log("total")), 6).alias(f"{c}_exponent") for c in FIT))
+    fit = funnel.growth_exponents(published_counts(spark), FIT)
+    return fit.select(*(F.round(c, 6).alias(c) for c in fit.columns))
 
 
 @query(f"WITH {OBJ} SELECT count(*) FILTER (perigee_km < 600) n_low, count(*) n FROM obj")
 def leo_count(spark, sf_dir):
-    return synthetic.objects(spark, sf_dir).agg(F.count_if(F.col("perigee_km") < 600).alias("n_low"), F.count("*").alias("n"))
+    return catalog.low_count(synthetic.objects(spark, sf_dir))
 
 
 @query(f"WITH {EV} SELECT 'ok' status, 'database' AS mode, count(*) events_loaded FROM ev")
