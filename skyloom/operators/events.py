@@ -260,22 +260,35 @@ def nearest_sample(targets: DataFrame, samples: DataFrame, key: str, bin_s: int
     """As-of join: the sample nearest in time to each target of the same key, earlier first on ties.
 
     targets: key, target (unix seconds); samples: key, t (unix seconds) and
-    more. One sorted pass: both sides are merged by key and time, and each
-    target looks at the last sample before and the first after it. Adds gap_s
-    and far (over 60 minutes).
+    more. A key's time is cut into bins, so that no key meets in one task. A
+    bin's targets and samples are merged in sorted passes; what lies before and
+    after the bin comes from the last and the first sample of the bins beside
+    it that have any, a small table of which each key's part is sorted. Adds
+    gap_s and far (over 60 minutes).
     """
     others = [c for c in samples.columns if c not in (key, "t")]
     extra = [c for c in targets.columns if c not in (key, "target")]
-    s = samples.select(F.col(key), F.col("t").cast("double").alias("at"), F.struct("t", *others).alias("sample"), *(F.lit(None).cast(targets.schema[c].dataType).alias(c) for c in extra), F.lit(0).alias("side"))
-    q = targets.select(F.col(key), F.col("target").cast("double").alias("at"), F.lit(None).cast(s.schema["sample"].dataType).alias("sample"), *extra, F.lit(1).alias("side"))
-    before = Window.partitionBy(key).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(key).orderBy(F.desc("at"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
-    merged = s.unionByName(q).withColumns({"_b": F.last("sample", True).over(before), "_a": F.last("sample", True).over(after)}).filter("side = 1")
-    gap_b, gap_a = F.col("at") - F.col("_b.t"), F.col("_a.t") - F.col("at")
-    pick = F.when(F.col("_a").isNull() | (gap_b <= gap_a), F.col("_b")).otherwise(F.col("_a"))
-    found = merged.withColumn("_s", pick).filter(F.col("_s").isNotNull())
-    gap = F.abs(F.col("at") - F.col("_s.t"))
-    return found.select(key, F.col("at").alias("target"), *extra, "_s.*", gap.alias("gap_s"), (gap > 3600).alias("far"))
+    names = {c: f"own_{k}" for k, c in enumerate([key, *extra])}
+    of = names[key]
+    s = samples.select(F.col(key).alias(of), F.col("t").cast("double").alias("at"), F.struct("t", *others).alias("sample"))
+    q = targets.select(F.col(key).alias(of), F.col("target").cast("double").alias("at"), F.struct(F.lit(1).alias("is"), *extra).alias("row"))
+    binned = [x.withColumn("bin", F.floor(F.col("at") / bin_s)) for x in (s, q)]
+    s, q = binned
+    ends = s.groupBy(of, "bin").agg(F.min_by("sample", "at").alias("first"), F.max_by("sample", "at").alias("last"))
+    places = ends.unionByName(q.select(of, "bin").distinct().join(ends, [of, "bin"], "left_anti"), allowMissingColumns=True)
+    along, back = Window.partitionBy(of).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(of).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    beside = places.select(of, "bin", F.last("last", True).over(along).alias("earlier"), F.last("first", True).over(back).alias("later"))
+    rows = s.withColumn("row", F.lit(None).cast(q.schema["row"].dataType)).unionByName(q.withColumn("sample", F.lit(None).cast(s.schema["sample"].dataType)))
+    side = F.col("row").isNotNull()
+    before = Window.partitionBy(of, "bin").orderBy("at", side).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(of, "bin").orderBy(F.desc("at"), side.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    merged = rows.withColumns({"b": F.last("sample", True).over(before), "a": F.last("sample", True).over(after)}).filter(side)
+    merged = merged.join(beside, [of, "bin"], "left").withColumns({"b": F.coalesce("b", "earlier"), "a": F.coalesce("a", "later")})
+    gap_b, gap_a = F.col("at") - F.col("b.t"), F.col("a.t") - F.col("at")
+    pick = F.when(F.col("a").isNull() | (gap_b <= gap_a), F.col("b")).otherwise(F.col("a"))
+    found = merged.withColumn("picked", pick).filter(F.col("picked").isNotNull())
+    gap = F.abs(F.col("at") - F.col("picked.t"))
+    return found.select(F.col(of).alias(key), F.col("at").alias("target"), *(F.col(f"row.{c}").alias(c) for c in extra), "picked.*", gap.alias("gap_s"), (gap > 3600).alias("far"))
 
 
 def straight_line_geometry(events: DataFrame) -> DataFrame:
@@ -291,5 +304,20 @@ def fresh_cache(cache: DataFrame, now: Column, ttl_s: int = 3600) -> DataFrame:
     return cache.filter(F.unix_micros(now) - F.unix_micros("computed_at") <= ttl_s * 1_000_000)
 
 
+def cached_geometry(events: DataFrame, cache: DataFrame, now: Column, ttl_s: int = 3600) -> tuple[DataFrame, DataFrame]:
+    """(event_id and body of the events whose series is cached and fresh, the events that miss).
+
+    Of several cached rows of an event the newest counts.
+    """
+    fresh = fresh_cache(cache, now, ttl_s).groupBy("event_id").agg(F.max_by("body", "computed_at").alias("body"))
+    return events.select("event_id").join(fresh, "event_id"), events.join(fresh, "event_id", "left_anti")
+
+
+def cache_rows(geometry: DataFrame, now: Column) -> DataFrame:
+    """Rows to append to the cache: each event's series as JSON, in order of its offsets."""
+    series = F.array_sort(F.collect_list(F.struct("offset_s", *[c for c in geometry.columns if c not in ("event_id", "offset_s")])))
+    return geometry.groupBy("event_id").agg(F.to_json(series).alias("body")).select("event_id", now.alias("computed_at"), "body")
+
+
 def now_literal(at: datetime | str) -> Column:
     return F.to_timestamp(F.lit(at if isinstance(at, str) else at.isoformat()))
