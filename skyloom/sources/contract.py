@@ -16,18 +16,59 @@ AT_LEAST_0 = ("miss_distance_km", "relative_velocity_km_s", "max_epoch_age_hours
 IN_0_TO_1 = ("risk_score", "confidence")
 
 
+#: What JSON shows for values of a field's type, and what the reader calls it.
+KINDS = {
+    "string": ("^STRING$", "a string"),
+    "integer": ("^BIGINT$", "a whole number"),
+    "double": ("^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "a number"),
+    "timestamp": ("^STRING$", "a date-time"),
+    "boolean": ("^BOOLEAN$", "true or false"),
+    "struct": ("^(OBJECT|STRUCT)", "an object"),
+}
+DATE_TIME = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
+
+
+def _as_written(raw: Column) -> list[tuple[Column, str]]:
+    """What only a record's text shows: missing fields, values of another type, and dates of another form."""
+    whole = F.try_parse_json(raw)
+    found = []
+
+    def look(path: str, kind: str, told: Column) -> None:
+        seen = F.schema_of_variant(F.try_variant_get(whole, f"$.{path}", "variant"))
+        pattern, name = KINDS[kind]
+        missing = seen.isNull() | (seen == "VOID")
+        found.append((told & missing, f"{path}: required"))
+        found.append((told & ~missing & ~seen.rlike(pattern), f"{path}: not {name}"))
+        if kind == "timestamp":
+            text = F.try_variant_get(whole, f"$.{path}", "string")
+            found.append((told & ~missing & seen.rlike(pattern) & (~text.rlike(DATE_TIME) | text.try_cast("timestamp").isNull()), f"{path}: not a date-time"))
+
+    for f in EVENT_SCHEMA:
+        look(f.name, f.dataType.typeName(), F.lit(True))
+        if f.dataType.typeName() == "struct":
+            there = F.schema_of_variant(F.try_variant_get(whole, f"$.{f.name}", "variant")).rlike(KINDS["struct"][0])
+            for inner in f.dataType:
+                look(f"{f.name}.{inner.name}", inner.dataType.typeName(), F.coalesce(there, F.lit(False)))
+    return found
+
+
+def _as_read() -> list[tuple[Column, str]]:
+    """Missing fields of rows that have no text."""
+    found = [(F.col(field).isNull(), f"{field}: required") for field in EVENT_SCHEMA.fieldNames()]
+    for side in ("primary", "secondary"):
+        found += [(F.col(side).isNotNull() & F.col(f"{side}.{c}").isNull(), f"{side}.{c}: required") for c in ("norad_id", "name")]
+    return found
+
+
 def violations(raw: Column | None = None) -> Column:
     """An array of 'path: message', ordered by path, for rows of the event schema.
 
     raw is the record's JSON text, where there is one: only there unknown
-    fields can be seen.
+    fields, wrong types and the form of dates can be seen.
     """
-    found = []
-    for field in EVENT_SCHEMA.fieldNames():
-        found.append((F.col(field).isNull(), f"{field}: required"))
+    found = _as_read() if raw is None else _as_written(raw)
     for side in ("primary", "secondary"):
         found += [(F.col(f"{side}.norad_id") < 1, f"{side}.norad_id: less than 1"), (F.length(f"{side}.name") < 1, f"{side}.name: empty")]
-        found += [(F.col(side).isNotNull() & F.col(f"{side}.{c}").isNull(), f"{side}.{c}: required") for c in ("norad_id", "name")]
     found += [(F.col(c) < 0, f"{c}: less than 0") for c in AT_LEAST_0]
     found += [(~F.col(c).between(0, 1), f"{c}: not in 0 to 1") for c in IN_0_TO_1]
     found += [(F.col("combined_radius_m") <= 0, "combined_radius_m: not above 0"), (~F.col("event_id").rlike(UUID), "event_id: not a uuid"), (~F.col("risk_tier").isin(*RISK_TIERS), "risk_tier: unknown")]
@@ -40,13 +81,20 @@ def violations(raw: Column | None = None) -> Column:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a JSON array file, all checked; any violation raises with all of them named."""
-    text = spark.read.text(path, wholetext=True).select(F.col("value"))
+    """Events of a JSON array file, all checked; any violation raises with all of them named.
+
+    A file that is not one whole JSON array raises too.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    form = F.schema_of_variant(F.try_parse_json("value"))
+    broken = text.filter(form.isNull() | ~F.coalesce(form, F.lit("")).rlike("^ARRAY")).select("path").collect()
+    if broken or text.isEmpty():
+        raise ValueError("\n".join(f"{r.path}: not a JSON array" for r in broken) or f"{path}: empty, not a JSON array")
     items = text.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "raw"))
     rows = items.select("pos", "raw", F.from_json("raw", EVENT_SCHEMA).alias("e")).select("pos", "raw", "e.*")
     checked = rows.withColumn("bad", violations(F.col("raw")))
     report = F.concat(F.lit("event["), F.col("pos").cast("string"), F.lit("] ("), F.coalesce("event_id", F.lit("?")), F.lit("): "), F.array_join("bad", "; "))
-    bad = checked.filter(F.size("bad") > 0).orderBy("pos").select(report.alias("r")).limit(1000).collect()
+    bad = checked.filter(F.size("bad") > 0).orderBy("pos").select(report.alias("r")).collect()
     if bad:
         raise ValueError("\n".join(r.r for r in bad))
     return rows.drop("raw").orderBy("pos").drop("pos")
@@ -71,7 +119,7 @@ def export_events(events: DataFrame, path: str) -> int:
     through the driver; bulk output is write_events.
     """
     checked = events.select("*", violations().alias("bad"))
-    bad = checked.filter(F.size("bad") > 0).select("event_id", F.array_join("bad", "; ").alias("bad")).limit(1000).collect()
+    bad = checked.filter(F.size("bad") > 0).select("event_id", F.array_join("bad", "; ").alias("bad")).orderBy("event_id").collect()
     if bad:
         raise ValueError("\n".join(f"event ({r.event_id}): {r.bad}" for r in bad))
     stamp = {f.name: F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(f.name) for f in EVENT_SCHEMA if f.dataType.typeName() == "timestamp"}

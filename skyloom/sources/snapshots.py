@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import os
+import tempfile
 import time
 import urllib.error
 import urllib.request
@@ -20,6 +22,8 @@ NAME = r"^(.+)_([0-9]{8}T[0-9]{6}Z)\.tle$"
 STAMP = "%Y%m%dT%H%M%SZ"
 USER_AGENT = "skyloom/1.0 (catalogue screening; batch refresh)"
 RETRY_STATUS = (500, 502, 503, 504)
+#: Characters of a body that are looked at for a server's message.
+SNIFFED = 4096
 
 
 def parse_names(files: DataFrame, name: str = "file_name") -> DataFrame:
@@ -69,24 +73,45 @@ def fetch(url: str, dest: str, retries: int = 3, timeout_s: float = 120.0, backo
     raise RuntimeError("unreachable")
 
 
+def land(spark: SparkSession, url: str, dest: str, fetcher=fetch) -> str:
+    """Fetch a catalogue and put it at dest, in any store that Spark can write; a server's message instead of one raises and leaves nothing."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    with tempfile.TemporaryDirectory() as scratch:
+        local = os.path.join(scratch, "body.tle")
+        fetcher(url, local)
+        with open(local, encoding="utf-8", errors="replace") as body:
+            told = spark.createDataFrame([(body.read(SNIFFED),)], "raw string").select(is_diagnostic(F.col("raw"))).first()[0]
+        if told:
+            raise RuntimeError(f"the server sent a message in place of the catalogue: {url}")
+        fs = path(dest).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path(dest).getParent())
+        fs.copyFromLocalFile(True, True, path(f"file://{local}"), path(f"{dest}.part"))
+        if not fs.rename(path(f"{dest}.part"), path(dest)):
+            raise OSError(f"cannot put the catalogue at {dest}")
+    return dest
+
+
 def choose_snapshot(spark: SparkSession, folder: str, group: str, now: datetime, offline: bool = False, base_url: str | None = None, fetcher=fetch) -> tuple[str, bool]:
-    """(path, from_cache) of the snapshot to use: under six hours old from the cache, else fetched, else stale."""
+    """(path, from_cache) of the snapshot to use: under six hours old from the cache, else fetched, else stale.
+
+    A stale one is used, with a warning, where the server cannot be reached or
+    fails; its refusal (4xx) and its message in place of a catalogue raise.
+    """
     row = snapshots(spark, folder).filter(F.col("grp") == group).orderBy(F.desc("fetched_at")).select("path", "fetched_at").first()
     if offline:
         if row is None:
             raise FileNotFoundError(f"no snapshot of {group} in {folder}")
         return row.path, True
-    if row is not None and now - row.fetched_at.replace(tzinfo=timezone.utc) < timedelta(hours=CACHE_HOURS):
+    age = now - row.fetched_at.replace(tzinfo=timezone.utc) if row is not None else None
+    if age is not None and age < timedelta(hours=CACHE_HOURS):
         return row.path, True
-    local = folder.removeprefix("file://")
-    os.makedirs(local, exist_ok=True)
-    dest = os.path.join(local, f"{group}_{now.strftime(STAMP)}.tle")
     try:
-        fetcher(group_url(base_url or "", group), dest)
-        return dest, False
-    except OSError:
-        if row is None:
+        return land(spark, group_url(base_url or "", group), f"{folder.rstrip('/')}/{group}_{now.strftime(STAMP)}.tle", fetcher), False
+    except OSError as e:
+        if row is None or isinstance(e, urllib.error.HTTPError) and 400 <= e.code < 500:
             raise
+        logging.getLogger(__name__).warning("catalogue %s could not be fetched (%s); using the snapshot of %.1f hours ago", group, e, age.total_seconds() / 3600)
         return row.path, True  # stale, better than nothing
 
 
@@ -95,4 +120,4 @@ def load_catalog(spark: SparkSession, path: str, now: Column, rcs: DataFrame | N
     raw = spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("raw"))
     raw = raw.withColumn("raw", F.when(is_diagnostic(F.col("raw")), F.raise_error(F.lit("the snapshot is a server message"))).otherwise(F.col("raw")))
     parsed = tle.parse(split_records(raw), now)
-    return first_of(build_objects(parsed), "norad_id", "epoch", "tle_line1") if rcs is None else build_objects(parsed, rcs), parsed
+    return first_of(build_objects(parsed, rcs), "norad_id", "epoch", "tle_line1"), parsed

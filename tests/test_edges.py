@@ -1,6 +1,7 @@
 """Sources, sinks, contract checks, view strings and the stream."""
 
 import json
+import urllib.error
 import os
 from datetime import datetime, timedelta, timezone
 
@@ -50,6 +51,52 @@ def test_every_violation_is_named(spark, tmp_path):
     assert "probability" not in " ".join(schemas.EVENT_SCHEMA.fieldNames())
 
 
+@pytest.mark.parametrize("text", ['{"event_id": 1}', "garbage", "[{", '[{"event_id": 1}', "", "null"])
+def test_broken_event_files_raise(spark, tmp_path, text):
+    (tmp_path / "e.json").write_text(text)
+    with pytest.raises(ValueError, match="not a JSON array"):
+        contract.read_events(spark, str(tmp_path / "e.json"))
+
+
+def test_types_dates_and_all_violations_are_named(spark, tmp_path):
+    bad = [event(1, risk_score="0.5"), event(2, tca="yesterday"), event(3, primary=7), event(4, intra_constellation="no"), event(5, primary={"norad_id": 1.5, "name": "A"})]
+    bad += [event(k, risk_tier="BLUE") for k in range(6, 1200)]
+    (tmp_path / "e.json").write_text(json.dumps(bad))
+    with pytest.raises(ValueError) as e:
+        contract.read_events(spark, str(tmp_path / "e.json"))
+    text = str(e.value)
+    assert len(text.splitlines()) == len(bad)
+    assert all(x in text for x in ("risk_score: not a number", "tca: not a date-time", "primary: not an object", "intra_constellation: not true or false", "primary.norad_id: not a whole number"))
+    assert "required" not in text
+    (tmp_path / "none.json").write_text("[]")
+    assert contract.read_events(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_messages_and_refusals_are_not_cached(spark, tmp_path, caplog):
+    old = tmp_path / f"active_{(T0 - timedelta(hours=9)).strftime(snapshots.STAMP)}.tle"
+    old.write_text("\n".join(ISS))
+
+    def message(url, dest):
+        open(dest, "w").write("No GP data found")
+        return dest
+
+    def refused(url, dest):
+        raise urllib.error.HTTPError(url, 404, "gone", None, None)
+
+    with pytest.raises(RuntimeError, match="message"):
+        snapshots.choose_snapshot(spark, str(tmp_path), "active", T0, fetcher=message)
+    assert snapshots.snapshots(spark, str(tmp_path)).count() == 1
+    with pytest.raises(urllib.error.HTTPError):
+        snapshots.choose_snapshot(spark, str(tmp_path), "active", T0, fetcher=refused)
+
+    def failing(url, dest):
+        raise urllib.error.HTTPError(url, 503, "busy", None, None)
+
+    with caplog.at_level("WARNING"):
+        assert snapshots.choose_snapshot(spark, str(tmp_path), "active", T0, fetcher=failing)[1]
+    assert "9.0 hours" in caplog.text
+
+
 def test_snapshot_policy(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         snapshots.choose_snapshot(spark, str(tmp_path / "none"), "active", T0, offline=True)
