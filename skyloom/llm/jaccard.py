@@ -11,26 +11,33 @@ is the replication of boundary documents; two documents within the distance
 share a region. Copies are one document throughout.
 
 Small regions (nearly all) compare their documents locally. In a large region
-up to PIVOTS documents are pivots, in one round: there are no Voronoi cells
-and no recursion. Distances to the pivots are computed only for pairs that
-sizes and sketches allow to be near; documents within the distance join a
-pivot's group, and a region whose documents are all in one group is done.
-Otherwise all pairs of its documents are looked at in blocks, by group, size
-and sketch, which grows with the square of the region; the triangle inequality
-over the distances that are known then drops pairs of different groups, and
-the rest are compared. No bound loses a link.
+up to PIVOTS central documents are pivots first: documents within the distance
+of a pivot join its group, and a region whose documents are all in one group
+is done. Distances to these are computed for pairs that sizes and sketches
+allow to be near. The other regions are cut into blocks, and the documents of
+a block, or of two, are dealt to Voronoi cells around pivots of their own. The
+metric there is that of count sketches, which is never above the number of
+shingles that two sets do not share. A document of one cell is let into a later
+cell if the triangle inequality leaves it near to one there: at most twice the
+distance sought farther from that pivot than from its own. Cells are split
+again in the same way, until they are small or splitting saves nothing; the
+documents in them are compared by group, size and sketch, and what is left by
+their texts, unless the distances to the central documents that are known
+already keep them apart. No bound loses a link.
 
 Defined cases: a document with fewer words than a shingle has its whole
 sequence as its shingle; one without words, or with a null text, has none and
 is linked with nothing; rows without doc_id have a null component; rows that
 repeat a doc_id are one document if their texts agree, and one component in
-any case; empty tables give empty results; extra columns are ignored.
-Shingles and sets are told apart by 64-bit hashes.
+any case; ties of distance go to the earlier pivot and change no link; texts
+are read whole; an empty table gives an empty result; extra columns of any
+name are ignored. Shingles and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +57,16 @@ PER_SLOT = 4
 #: found in so many of them counts as frequent. The order only affects speed.
 SAMPLE, FREQUENT = 16, 3
 FREQUENT_KEPT = 1_000_000
+#: Keys that a task remembers.
+SEEN = 1_000_000
 #: Documents of a region that are compared locally without a pivot.
 SMALL_REGION = 6
 #: Pivots of a large region, and documents of a block of it.
 PIVOTS = 4
 REGION_BLOCK = 4096
+#: Pivots of a block's Voronoi cells, and documents of a cell that are compared without further cells.
+CELLS = 8
+LEAF = 128
 
 
 def least_overlap(n: np.ndarray, near: tuple[int, int] = NEAR) -> np.ndarray:
@@ -108,7 +120,8 @@ def most_common(n: int, m: int, a: bytes, b: bytes) -> float:
 def profiles(docs: DataFrame, width: int, near: tuple[int, int]) -> DataFrame:
     """doc_id, n (set size), key (hash of the set), sketch, and the boundary shingles.
 
-    Within a task, only the first row of a key that has a doc_id has sketch and boundary.
+    Within a task, only the first row of a key that has a doc_id has sketch and
+    boundary, or the first since the task forgot SEEN keys.
     """
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
 
@@ -139,6 +152,8 @@ def profiles(docs: DataFrame, width: int, near: tuple[int, int]) -> DataFrame:
                 sketch: list = []
                 for k, x in enumerate(keys):
                     if n[k] and with_id[k] and x not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(x)
                         sigs.append(boundary[cut[k] : cut[k + 1]])
                         sketch.append(marks[k])
@@ -339,10 +354,11 @@ def rest_of_large(large: DataFrame, group: DataFrame, tested: DataFrame, nodes:
 
     Regions with the same central document hold much the same documents; they
     become one cell around it, so that a pair comes out once and not in each.
-    A cell is cut into blocks and its pairs of blocks are looked at one by
-    one, in bounded memory, by sizes and sketches. Then triangle-inequality
-    windows: a pair goes if |d(x, p) - d(y, p)| is above the distance sought
-    for a pivot p that both were compared with.
+    A region is cut into blocks, and each block and pair of blocks is joined by
+    itself, in Voronoi cells and in bounded memory (possible_pairs). Of what is
+    left, a pair goes if |d(x, p) - d(y, p)| is above the distance sought for a
+    pivot p that both were compared with; repeated texts of a key count with
+    their least distance.
     """
     centres = ranked(large).groupBy("region").agg(F.max_by("key", "rank").alias("centre"))
     cells = large.join(centres, "region").select(F.col("centre").alias("region"), "key").distinct()
@@ -355,52 +371,22 @@ def rest_of_large(large: DataFrame, group: DataFrame, tested: DataFrame, nodes:
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     dealt = rows.select("region", "i", "j", "key", "component", "n", "sketch", "own").repartition(partitions(large.sparkSession), "region", "i", "j").sortWithinPartitions("region", "i", "j", "key")
 
-    def pairs_of(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        key, comp, n, own_, i, j = (part.column(c).to_numpy() for c in ("key", "component", "n", "own", "i", "j"))
-        sketch = part.column("sketch").to_pylist()
-        length = np.array([len(x) for x in sketch])
-        by_length = {}
-        for size in np.unique(length[length > 0]).tolist():
-            own_rows = np.flatnonzero(length == size)
-            by_length[size] = own_rows, np.frombuffer(b"".join(sketch[r] for r in own_rows), np.uint8).reshape(-1, size).astype(np.int16)
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(len(key) - 1):
-            ok = comp != comp[k]
-            ok[: k + 1] = False
-            if i[k] != j[k]:
-                ok &= own_ != own_[k]
-            least = -(-(n[k] + n) * near[0] // (near[0] + near[1]))
-            ok &= least <= np.minimum(n[k], n)
-            if not ok.any():
-                continue
-            if length[k]:
-                mine = np.frombuffer(sketch[k], np.uint8).astype(np.int16)
-                for size, (its_rows, counts) in by_length.items():
-                    chosen = ok[its_rows]
-                    if chosen.any():
-                        small = min(size, len(mine))
-                        apart = np.abs(folded(counts[chosen], small) - folded(mine, small)).sum(1)
-                        rows_ = its_rows[chosen]
-                        ok[rows_] = n[k] + n[rows_] - apart >= 2 * least[rows_]
-            at = np.flatnonzero(ok)
-            left.append(np.minimum(key[k], key[at]))
-            right.append(np.maximum(key[k], key[at]))
-        return np.concatenate(left), np.concatenate(right)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+
+        def pairs_of(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            for a, b in possible_pairs(part, near):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
         for batch in batches:
             now = pa.Table.from_batches([batch])
             held = now if held is None else pa.concat_tables([held, now])
             starts = group_starts(held)
             for x, y in zip(starts[:-1], starts[1:], strict=True):
-                a, b = pairs_of(held.slice(x, y - x))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield from pairs_of(held.slice(x, y - x))
             held = held.slice(starts[-1])
         if held is not None and held.num_rows:
-            a, b = pairs_of(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield from pairs_of(held)
 
     def group_starts(rows: pa.Table) -> list[int]:
         region, i, j = (rows.column(c).to_numpy() for c in ("region", "i", "j"))
@@ -412,13 +398,93 @@ def rest_of_large(large: DataFrame, group: DataFrame, tested: DataFrame, nodes:
     to = tested.select(F.col("a").alias("p"), F.col("b").alias("key"), distance.alias("d")).union(tested.select(F.col("b"), F.col("a"), distance))
     pairs = materialise(pairs, "rest")
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    to = to.join(ends, "key", "left_semi").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("p", "d"))).alias("to"))
+    to = to.join(ends, "key", "left_semi").groupBy("key", "p").agg(F.min("d").alias("d")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("p", "d"))).alias("to"))
     a, b = to.select(F.col("key").alias("a"), F.col("to").alias("to_a")), to.select(F.col("key").alias("b"), F.col("to").alias("to_b"))
     shared = F.array_intersect(F.map_keys("to_a"), F.map_keys("to_b"))
     apart = F.exists(shared, lambda p: F.abs(F.element_at("to_a", p) - F.element_at("to_b", p)) > far)
     return pairs.join(a, "a", "left").join(b, "b", "left").filter(~F.coalesce(apart, F.lit(False))).select("a", "b")
 
 
+class Members(NamedTuple):
+    """Documents of a part of a region: set sizes, sketches of one length, and what pairs are wanted of them."""
+
+    key: np.ndarray
+    component: np.ndarray
+    n: np.ndarray
+    own: np.ndarray  # block
+    counts: np.ndarray  # (documents, slots)
+    drawn: np.ndarray  # has a sketch
+
+    def take(self, which: np.ndarray) -> Members:
+        return Members(*(x[which] for x in self))
+
+
+def possible_pairs(part: pa.Table, near: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs a < b of different groups of a block (or of two blocks) that sizes and sketches allow to be near.
+
+    Distance is that of count sketches, the sum of absolute differences. It is
+    a metric and never above the number of shingles that only one of two sets
+    has, which for near sets is at most (n + m) * reach, and so at most
+    x.n * span for a document x and any that is near to it.
+    """
+    key, comp, n, own, i, j = (part.column(c).to_numpy() for c in ("key", "component", "n", "own", "i", "j"))
+    sketch = part.column("sketch").to_pylist()
+    length = np.array([len(x) for x in sketch])
+    slots = int(length[length > 0].min()) if (length > 0).any() else 1
+    counts = np.zeros((len(key), slots), np.int32)
+    for size in np.unique(length[length > 0]).tolist():
+        rows = np.flatnonzero(length == size)
+        counts[rows] = folded(np.frombuffer(b"".join(sketch[r] for r in rows), np.uint8).reshape(-1, size).astype(np.int32), slots)
+    every = Members(key, comp, n, own, counts, length > 0)
+    cross = bool(i[0] != j[0])
+    reach = (near[1] - near[0]) / (near[0] + near[1])
+    span = reach * (1 + near[1] / near[0])
+
+    def compared(m: Members, mask: np.ndarray, full: int) -> tuple[np.ndarray, np.ndarray]:
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(len(m.key) - 1):
+            rest = slice(k + 1, None)
+            ok = (m.component[rest] != m.component[k]) & ((mask[rest] | mask[k]) == full)
+            if cross:
+                ok &= m.own[rest] != m.own[k]
+            total = m.n[k] + m.n[rest]
+            least = -(-total * near[0] // (near[0] + near[1]))
+            ok &= least <= np.minimum(m.n[k], m.n[rest])
+            at = np.flatnonzero(ok)
+            if len(at):
+                apart = np.where(m.drawn[rest][at] & m.drawn[k], np.abs(m.counts[rest][at] - m.counts[k]).sum(1), 0)
+                at = at[total[at] - apart >= 2 * least[at]]
+                left.append(np.minimum(m.key[k], m.key[rest][at]))
+                right.append(np.maximum(m.key[k], m.key[rest][at]))
+        return np.concatenate(left), np.concatenate(right)
+
+    def cells(m: Members, mask: np.ndarray, full: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Voronoi cells around pivots, with the documents of other cells that their windows let in; each joined by itself."""
+        if len(m.key) <= LEAF or full >= 1 << 60:
+            yield compared(m, mask, full)
+            return
+        sample = np.linspace(0, len(m.key) - 1, min(len(m.key), 8 * CELLS)).astype(int)
+        chosen, gap = [int(sample[0])], np.abs(m.counts[sample] - m.counts[sample[0]]).sum(1)
+        while len(chosen) < CELLS and gap.max() > 0:
+            chosen.append(int(sample[gap.argmax()]))
+            gap = np.minimum(gap, np.abs(m.counts[sample] - m.counts[chosen[-1]]).sum(1))
+        d = np.stack([np.abs(m.counts - m.counts[p]).sum(1) for p in chosen], 1)
+        home = d.argmin(1)
+        # of two near documents of different cells, that of the earlier one is let into the other's
+        enters = (d <= (d.min(1) + 2 * span * m.n)[:, None] + 1e-6) | ~m.drawn[:, None]
+        inside = [(home == c) | (enters[:, c] & (home < c)) | (~m.drawn & (home != c)) for c in range(len(chosen))]
+        if sum(float(x.sum()) ** 2 for x in inside) > 0.8 * float(len(m.key)) ** 2:  # they lie alike to all pivots: cells would save nothing
+            yield compared(m, mask, full)
+            return
+        for c, x in enumerate(inside):
+            if (home[x] == c).any():
+                yield from cells(m.take(x), np.where(home[x] == c, mask[x] | (full + 1), mask[x]), full * 2 + 1)
+
+    for a, b in cells(every, np.zeros(len(key), np.int64), 0):
+        for at in range(0, len(a), 100_000):
+            yield a[at : at + 100_000], b[at : at + 100_000]
+
+
 def one_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of docs that are the smallest doc_id of their group; rows without doc_id stay."""
     keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()

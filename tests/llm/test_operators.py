@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,49 @@ def test_jaccard_groups(docs, rows, monkeypatch, small_region):
     assert got == brute_groups(rows)
 
 
+def clustered_sets(rng, n_groups, each, common=40):
+    """Texts of groups of near copies that all share one passage, some near across groups."""
+    passage = [f"p{i}" for i in range(common)]
+    out = []
+    for g in range(n_groups):
+        base = [f"g{g}w{i}" for i in range(rng.randint(20, 200))]
+        for _ in range(each):
+            w = list(base)
+            for _ in range(rng.randint(0, 12)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(passage + w))
+    return out
+
+
+@pytest.mark.parametrize(("leaf", "block"), [(128, 4096), (4, 4096), (3, 20)])
+def test_jaccard_cells(spark, monkeypatch, leaf, block):
+    """Recursive cells in one large region give the groups of brute force."""
+    monkeypatch.setattr(jaccard, "SMALL_REGION", 2)
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    monkeypatch.setattr(jaccard, "REGION_BLOCK", block)
+    rows = list(enumerate(clustered_sets(random.Random(leaf), 12, 7)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_possible_pairs_lose_nothing(monkeypatch):
+    """All pairs that are near come out of the cells, whatever their size; far groups never meet."""
+    rng = random.Random(9)
+    texts = clustered_sets(rng, 20, 9, 10)
+    sets = [np.unique(words.shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[1]) for t in texts]
+    n = np.array([len(x) for x in sets])
+    marks = jaccard.sketches(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), n)
+    marks[5] = marks[77] = b""
+    k = np.arange(len(sets))
+    part = pa.table({"key": k, "component": k, "n": n, "own": k % 3, "i": 0 * k, "j": 0 * k, "sketch": marks})
+    near = {(a, b) for a in k for b in k if a < b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert len(near) > 50
+    for leaf in (2, 10, 1000):
+        monkeypatch.setattr(jaccard, "LEAF", leaf)
+        found = [p for a, b in jaccard.possible_pairs(part, (75, 100)) for p in zip(a.tolist(), b.tolist())]
+        assert near <= set(found)
+
+
 def test_jaccard_edge_rows(spark, empty):
     assert jaccard.near_groups(empty).count() == 0
     text = "a b c d e f g h i j"
