@@ -51,8 +51,8 @@ from skyloom.llm.components import components
 WIDTH = 5
 #: Least similarity, as a ratio of whole numbers.
 NEAR = (75, 100)
-#: Shingles for each slot of a set's count sketch, about: 2 to 4.
-PER_SLOT = 4
+#: Shingles for each slot of a set's count sketch, about: a half to one.
+PER_SLOT = 1
 #: One document in so many is counted for the order of shingles, and a shingle
 #: found in so many of them counts as frequent. The order only affects speed.
 SAMPLE, FREQUENT = 16, 3
@@ -406,8 +406,9 @@ def rest_of_large(large: DataFrame, group: DataFrame, tested: DataFrame, nodes:
 
 
 class Members(NamedTuple):
-    """Documents of a part of a region: set sizes, sketches of one length, and what pairs are wanted of them."""
+    """Documents of a part of a region: their places in the block, set sizes, and sketches brought to one length."""
 
+    at: np.ndarray
     key: np.ndarray
     component: np.ndarray
     n: np.ndarray
@@ -431,15 +432,27 @@ def possible_pairs(part: pa.Table, near: tuple[int, int]) -> Iterator[tuple[np.n
     sketch = part.column("sketch").to_pylist()
     length = np.array([len(x) for x in sketch])
     slots = int(length[length > 0].min()) if (length > 0).any() else 1
-    counts = np.zeros((len(key), slots), np.int32)
+    counts, whole, place = np.zeros((len(key), slots), np.int32), {}, np.zeros(len(key), np.int64)
     for size in np.unique(length[length > 0]).tolist():
         rows = np.flatnonzero(length == size)
-        counts[rows] = folded(np.frombuffer(b"".join(sketch[r] for r in rows), np.uint8).reshape(-1, size).astype(np.int32), slots)
-    every = Members(key, comp, n, own, counts, length > 0)
+        whole[size], place[rows] = np.frombuffer(b"".join(sketch[r] for r in rows), np.uint8).reshape(-1, size), np.arange(len(rows))
+        counts[rows] = folded(whole[size].astype(np.int32), slots)
+    every = Members(np.arange(len(key)), key, comp, n, own, counts, length > 0)
     cross = bool(i[0] != j[0])
     reach = (near[1] - near[0]) / (near[0] + near[1])
     span = reach * (1 + near[1] / near[0])
 
+    def apart(x: int, others: np.ndarray) -> np.ndarray:
+        """Distances of a document to others, each pair at its shorter sketch's length; 0 without a sketch."""
+        out = np.zeros(len(others), np.int64)
+        if not length[x]:
+            return out
+        mine = whole[int(length[x])][place[x]].astype(np.int32)
+        for size in np.unique(length[others][length[others] > 0]).tolist():
+            its, small = np.flatnonzero(length[others] == size), min(size, len(mine))
+            out[its] = np.abs(folded(whole[size][place[others[its]]].astype(np.int32), small) - folded(mine, small)).sum(1)
+        return out
+
     def compared(m: Members, mask: np.ndarray, full: int) -> tuple[np.ndarray, np.ndarray]:
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(len(m.key) - 1):
@@ -452,8 +465,7 @@ def possible_pairs(part: pa.Table, near: tuple[int, int]) -> Iterator[tuple[np.n
             ok &= least <= np.minimum(m.n[k], m.n[rest])
             at = np.flatnonzero(ok)
             if len(at):
-                apart = np.where(m.drawn[rest][at] & m.drawn[k], np.abs(m.counts[rest][at] - m.counts[k]).sum(1), 0)
-                at = at[total[at] - apart >= 2 * least[at]]
+                at = at[total[at] - apart(m.at[k], m.at[rest][at]) >= 2 * least[at]]
                 left.append(np.minimum(m.key[k], m.key[rest][at]))
                 right.append(np.maximum(m.key[k], m.key[rest][at]))
         return np.concatenate(left), np.concatenate(right)
