@@ -41,6 +41,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,8 @@ SAMPLE, FREQUENT = 16, 3
 FREQUENT_KEPT = 1_000_000
 #: Keys that a task remembers.
 SEEN = 1_000_000
+#: Bytes of sketches that are widened at a time.
+GAP_BYTES = 4 << 20
 #: Documents of a region that are compared locally without a pivot.
 SMALL_REGION = 6
 #: Pivots of a large region, and documents of a block of it.
@@ -108,13 +111,42 @@ def folded(counts: np.ndarray, size: int) -> np.ndarray:
     return counts.reshape(*counts.shape[:-1], size, -1).sum(-1) if counts.shape[-1] > size else counts
 
 
-def most_common(n: int, m: int, a: bytes, b: bytes) -> float:
-    """No fewer shingles than two sets of n and m have in common, by their sketches."""
-    if not a or not b:
-        return min(n, m)
-    size = min(len(a), len(b))
-    x, y = (folded(np.frombuffer(s, np.uint8).astype(np.int32), size) for s in (a, b))
-    return (n + m - np.abs(x - y).sum()) / 2
+def sketch_rows(column: pa.Array, length: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """The sketches of a column, those of one length as the rows of a matrix, and the row that each stands in there."""
+    place, whole = np.zeros(len(column), np.int64), {}
+    for size in np.unique(length[length > 0]).tolist():
+        rows = np.flatnonzero(length == size)
+        whole[size], place[rows] = np.frombuffer(b"".join(column.take(pa.array(rows)).to_pylist()), np.uint8).reshape(-1, size), np.arange(len(rows))
+    return whole, place
+
+
+def gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of absolute differences of count sketches, row by row (or of all rows of x to one y), at the shorter length.
+
+    Counts are widened to 32 bits in parts of GAP_BYTES, whatever the number of rows.
+    """
+    size, out = min(x.shape[-1], y.shape[-1]), np.zeros(len(x), np.int64)
+    step = max(1, GAP_BYTES // (4 * max(x.shape[-1], y.shape[-1])))
+    one = folded(y.astype(np.int32), size) if y.ndim == 1 else None
+    for k in range(0, len(x), step):
+        other = one if one is not None else folded(y[k : k + step].astype(np.int32), size)
+        out[k : k + step] = np.abs(folded(x[k : k + step].astype(np.int32), size) - other).sum(1)
+    return out
+
+
+def most_common(n: np.ndarray, m: np.ndarray, a: pa.Array, b: pa.Array) -> np.ndarray:
+    """No fewer shingles than sets of n and m have in common, pair by pair, by their sketches; pairs of the same two lengths together."""
+    out = np.minimum(n, m).astype(float)
+    lengths = [np.asarray(pc.fill_null(pc.binary_length(c), 0)).astype(np.int64) for c in (a, b)]
+    (whole_a, at_a), (whole_b, at_b) = (sketch_rows(c, k) for c, k in zip((a, b), lengths, strict=True))
+    both = lengths[0] * (lengths[1].max(initial=0) + 1) + lengths[1]
+    for kind in np.unique(both[(lengths[0] > 0) & (lengths[1] > 0)]):
+        rows = np.flatnonzero(both == kind)
+        p, q = (int(x[rows[0]]) for x in lengths)
+        for k in range(0, len(rows), 4096):
+            some = rows[k : k + 4096]
+            out[some] = (n[some] + m[some] - gaps(whole_a[p][at_a[some]], whole_b[q][at_b[some]])) / 2
+    return out
 
 
 def profiles(docs: DataFrame, width: int, near: tuple[int, int]) -> DataFrame:
@@ -252,9 +284,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, near: tuple[int, int]) -> DataF
         n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b"))
         least = -(-(n + m) * near[0] // (near[0] + near[1]))
         keep = least <= np.minimum(n, m)
-        sides = (batch.column(c) for c in ("s_a", "s_b"))
-        sketched = zip(n.tolist(), m.tolist(), *(c.to_pylist() for c in sides), strict=True)
-        keep &= np.array([most_common(*x) for x in sketched]) >= least
+        keep &= most_common(n, m, batch.column("s_a"), batch.column("s_b")) >= least
         return batch.select(["a", "b"]).filter(pa.array(keep))
 
     a = nodes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
@@ -429,14 +459,16 @@ def possible_pairs(part: pa.Table, near: tuple[int, int]) -> Iterator[tuple[np.n
     x.n * span for a document x and any that is near to it.
     """
     key, comp, n, own, i, j = (part.column(c).to_numpy() for c in ("key", "component", "n", "own", "i", "j"))
-    sketch = part.column("sketch").to_pylist()
-    length = np.array([len(x) for x in sketch])
+    sketch = part.column("sketch").combine_chunks()
+    length = np.asarray(pc.fill_null(pc.binary_length(sketch), 0)).astype(np.int64)
     slots = int(length[length > 0].min()) if (length > 0).any() else 1
-    counts, whole, place = np.zeros((len(key), slots), np.int32), {}, np.zeros(len(key), np.int64)
-    for size in np.unique(length[length > 0]).tolist():
+    whole, place = sketch_rows(sketch, length)
+    counts = np.zeros((len(key), slots), np.int32)
+    for size, own_rows in whole.items():
         rows = np.flatnonzero(length == size)
-        whole[size], place[rows] = np.frombuffer(b"".join(sketch[r] for r in rows), np.uint8).reshape(-1, size), np.arange(len(rows))
-        counts[rows] = folded(whole[size].astype(np.int32), slots)
+        for k in range(0, len(rows), max(1, GAP_BYTES // (4 * size))):
+            some = rows[k : k + max(1, GAP_BYTES // (4 * size))]
+            counts[some] = folded(own_rows[place[some]].astype(np.int32), slots)
     every = Members(np.arange(len(key)), key, comp, n, own, counts, length > 0)
     cross = bool(i[0] != j[0])
     reach = (near[1] - near[0]) / (near[0] + near[1])
@@ -447,10 +479,11 @@ def possible_pairs(part: pa.Table, near: tuple[int, int]) -> Iterator[tuple[np.n
         out = np.zeros(len(others), np.int64)
         if not length[x]:
             return out
-        mine = whole[int(length[x])][place[x]].astype(np.int32)
+        mine = whole[int(length[x])][place[x]]
         for size in np.unique(length[others][length[others] > 0]).tolist():
-            its, small = np.flatnonzero(length[others] == size), min(size, len(mine))
-            out[its] = np.abs(folded(whole[size][place[others[its]]].astype(np.int32), small) - folded(mine, small)).sum(1)
+            its = np.flatnonzero(length[others] == size)
+            for k in range(0, len(its), 1024):
+                out[its[k : k + 1024]] = gaps(whole[size][place[others[its[k : k + 1024]]]], mine)
         return out
 
     def compared(m: Members, mask: np.ndarray, full: int) -> tuple[np.ndarray, np.ndarray]:

@@ -11,8 +11,11 @@ that is raised repeats them first, until the cap holds them.
 
 Newton's method finds the multipliers. Each step is an aggregation over the
 distributed table of (source, size, documents): the words and their
-derivative at the present multipliers. A source's step that leaves the bracket
-of its earlier steps is replaced by the bracket's middle.
+derivative at the present multipliers, summed as decimals, so that no result
+depends on the order in which rows arrive. A source's step that leaves the
+bracket of its earlier steps is replaced by the bracket's middle, and after
+NEWTON_STEPS all are, until each source meets its target or its bracket is as
+narrow as numbers allow.
 
 Rates become copies bucket by bucket: a source's documents are dealt into
 buckets by a hash of all their values, and in each the largest document is
@@ -29,6 +32,7 @@ an empty table gives an empty result; extra columns of any name are ignored
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +47,7 @@ from skyloom.llm.common import materialise, partitions, slices, unused, utf8
 MOST_COPIES = 3
 #: Documents of one rounding bucket, about.
 GROUP_ROWS = 4_000
-#: Steps at most, and the relative error of a source's words at which they end.
+#: Steps after which brackets are only halved, and the relative error of a source's words at which steps end.
 NEWTON_STEPS = 60
 CLOSE = 1e-6
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -114,21 +118,23 @@ def multipliers(counted: DataFrame, targets: DataFrame, most: float = MOST_COPIE
     state = materialise(state.withColumns({"tilt": start, "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "error": F.lit(None).cast("double")}), "tilts")
     tilted = F.exp(F.least(F.col("tilt") * F.try_divide("size", "unit"), F.lit(60.0)))
     free = tilted < float(most)
-    for _ in range(NEWTON_STEPS):
+    exact = lambda x: F.sum(x.cast("decimal(28,9)")).cast("double")
+    wide = (F.abs("error") > CLOSE) & (F.col("low").isNull() | F.col("high").isNull() | (F.col("high") - F.col("low") > 1e-15 * (1 + F.abs("tilt"))))
+    for step in itertools.count():
         moving = state.filter("tilt IS NOT NULL").select(F.col("source").alias("of"), "tilt", "unit")
         at = counted.join(moving, F.col("source").eqNullSafe(F.col("of"))).groupBy("of").agg(
-            F.sum(F.least(tilted, F.lit(float(most))) * F.col("size") * F.col("docs")).alias("got"),
-            F.sum(F.when(free, tilted * F.col("size") * F.try_divide("size", "unit") * F.col("docs")).otherwise(0.0)).alias("slope"),
+            exact(F.least(tilted, F.lit(float(most))) * F.col("size") * F.col("docs")).alias("got"),
+            exact(F.when(free, tilted * F.col("size") * F.try_divide("size", "unit") * F.col("docs")).otherwise(0.0)).alias("slope"),
         )
         state = state.drop("error").join(at, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
         state = state.withColumn("error", F.try_divide(F.col("got") - F.col("target"), F.col("target")))
         state = state.withColumns({"low": F.when(F.col("error") < 0, F.col("tilt")).otherwise(F.col("low")), "high": F.when(F.col("error") >= 0, F.col("tilt")).otherwise(F.col("high"))})
         newton = F.col("tilt") - F.try_divide(F.col("error") * F.col("target"), F.col("slope"))
-        inside = F.col("slope").isNotNull() & (F.col("slope") > 0) & (newton > F.coalesce("low", F.col("tilt") - 4)) & (newton < F.coalesce("high", F.col("tilt") + 4))
+        inside = F.lit(step < NEWTON_STEPS) & F.col("slope").isNotNull() & (F.col("slope") > 0) & (newton > F.coalesce("low", F.col("tilt") - 4)) & (newton < F.coalesce("high", F.col("tilt") + 4))
         middle = (F.coalesce("low", F.col("high") - 4) + F.coalesce("high", F.col("low") + 4)) / 2
         state = state.withColumn("tilt", F.when(F.abs("error") <= CLOSE, F.col("tilt")).otherwise(F.when(inside, newton).otherwise(middle))).drop("got", "slope")
         state = materialise(state, "tilts")
-        if (state.agg(F.max(F.abs("error"))).first()[0] or 0) <= CLOSE:
+        if state.filter(wide).isEmpty():
             break
     return state.select("source", "source_size", "n_docs", "target", "unit", "tilt")
 

@@ -316,8 +316,9 @@ class SuffixArray:
         rest = sizes[self.context] - self.offset
         grid = np.lib.stride_tricks.sliding_window_view(flat, width)[at] if len(at) else np.zeros((0, width), np.uint8)
         grid[np.arange(width)[None] >= rest[:, None]] = 0
-        # order by bytes; a shorter suffix stands before its extensions
-        order = np.argsort(grid.view(f"S{width}").ravel(), kind="stable")
+        # order by bytes; a shorter suffix stands before its extensions, also before those by NUL bytes, which the comparison ignores at the end
+        shorter = np.argsort(rest, kind="stable")
+        order = shorter[np.argsort(grid.view(f"S{width}").ravel()[shorter], kind="stable")]
         self.order = order
         grid, rest = grid[order], rest[order]
         differ = grid[1:] != grid[:-1]
