@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skyloom.llm import bpe, fingerprints, jaccard, knn, langid, mixing, quality, suffix_dedup, toxicity
+from skyloom.llm import bpe, clusters, contamination, fingerprints, jaccard, knn, langid, mixing, periodic, quality, suffix_dedup, toxicity
 from tests.llm.test_operators import LONG
 
 #: Names that operators use, or once used, for columns of their own.
@@ -46,6 +46,8 @@ OPERATORS = {
     "counts": lambda d, x: bpe.token_counts(d.withColumn("edits", F.lit(None).cast("array<struct<start:int,stop:int,text:string>>"))),
     "language": lambda d, x: langid.language_id(d),
     "repeats": lambda d, x: suffix_dedup.remove_repeats(d),
+    "runs": lambda d, x: periodic.periodic_runs(d),
+    "contamination": lambda d, x: contamination.contamination(d, d.select(F.col("doc_id").alias("item_id"), "text", "key", "found")),
 }
 
 
@@ -62,6 +64,8 @@ def test_vectors(spark):
     got = {(r.query_id, r["rank"], r.vec_id): r.score for r in knn.top_products(df).collect()}
     assert got[(20, 1, 8)] == 64 * 32 + 128 * 32 and {k[2] for k in got if k[0] == 40} == {6, 8, 20}
     assert knn.top_products(df.limit(0)).count() == 0
+    assert sorted(r.vec_id for r in clusters.clusters(df, width=2).collect()) == [20, 20, 40]
+    assert clusters.clusters(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("name", [k for k, _ in corpus_pipeline.STAGES])

@@ -32,3 +32,9 @@ def test_stages(spark, tmp_path):
 
     done = corpus_pipeline.run(spark, sf)
     assert done.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and done.count() > 0
+
+
+def test_no_documents(spark, tmp_path):
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{sf}/documents.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
