@@ -54,6 +54,8 @@ WIDTH = 5
 NEAR = (75, 100)
 #: Shingles for each slot of a set's count sketch, about: a half to one.
 PER_SLOT = 1
+#: Slots of a sketch that are one slot of the coarse one, which travels with pairs.
+FOLD = 4
 #: One document in so many is counted for the order of shingles, and a shingle
 #: found in so many of them counts as frequent. The order only affects speed.
 SAMPLE, FREQUENT = 16, 3
@@ -106,6 +108,14 @@ def sketches(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
     return [b"" if f else raw[i : i + m] for f, i, m in zip(full, at.tolist(), size.tolist(), strict=True)]
 
 
+def coarse(sketch: bytes) -> bytes:
+    """A sketch with FOLD slots as one; none if a sum is over 255."""
+    if not sketch:
+        return sketch
+    counts = np.frombuffer(sketch, np.uint8).reshape(-1, FOLD).sum(1)
+    return b"" if counts.max() > 255 else counts.astype(np.uint8).tobytes()
+
+
 def folded(counts: np.ndarray, size: int) -> np.ndarray:
     """Sketches (..., slots) as they would be with `size` slots."""
     return counts.reshape(*counts.shape[:-1], size, -1).sum(-1) if counts.shape[-1] > size else counts
@@ -150,7 +160,7 @@ def most_common(n: np.ndarray, m: np.ndarray, a: pa.Array, b: pa.Array) -> np.nd
 
 
 def profiles(docs: DataFrame, width: int, near: tuple[int, int]) -> DataFrame:
-    """doc_id, n (set size), key (hash of the set), sketch, and the boundary shingles.
+    """doc_id, n (set size), key (hash of the set), sketch, coarse sketch, and the boundary shingles.
 
     Within a task, only the first row of a key that has a doc_id has sketch and
     boundary, or the first since the task forgot SEEN keys.
@@ -192,10 +202,11 @@ def profiles(docs: DataFrame, width: int, near: tuple[int, int]) -> DataFrame:
                     else:
                         sigs.append(None)
                         sketch.append(None)
-                cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketch, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "key", "sketch", "boundary"])
+                small = [None if x is None else coarse(x) for x in sketch]
+                cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketch, pa.binary()), pa.array(small, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "key", "sketch", "coarse", "boundary"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key long, sketch binary, boundary array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, key long, sketch binary, coarse binary, boundary array<long>")
 
 
 def regions(profile: DataFrame) -> DataFrame:
@@ -278,7 +289,7 @@ def local_pairs(found: DataFrame) -> DataFrame:
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, near: tuple[int, int]) -> DataFrame:
-    """The pairs that sizes and sketches allow to be near."""
+    """The pairs that sizes and coarse sketches allow to be near."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b"))
@@ -287,8 +298,8 @@ def possible(pairs: DataFrame, nodes: DataFrame, near: tuple[int, int]) -> DataF
         keep &= most_common(n, m, batch.column("s_a"), batch.column("s_b")) >= least
         return batch.select(["a", "b"]).filter(pa.array(keep))
 
-    a = nodes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    b = nodes.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    a = nodes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("coarse").alias("s_a"))
+    b = nodes.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("coarse").alias("s_b"))
     return map_arrow(pairs.join(a, "a").join(b, "b"), one, "a long, b long")
 
 
@@ -330,7 +341,7 @@ def near_groups(docs: DataFrame, width: int = WIDTH, near: tuple[int, int] = NEA
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     profile = materialise(profiles(docs, width, near), "profiles")
     with_id = profile.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    nodes = materialise(with_id.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sketch").alias("sketch")), "nodes")
+    nodes = materialise(with_id.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sketch").alias("sketch"), F.max("coarse").alias("coarse")), "nodes")
     found = materialise(regions(with_id), "regions")
     close = F.col("common") * near[1] >= F.col("all") * near[0]
 

@@ -485,6 +485,9 @@ def test_sketches_never_lose_a_link():
     n = np.array([len(x) for x in sets])
     marks = jaccard.sketches(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), n)
     marks[3] = b""
+    assert all(jaccard.coarse(m) == b"" or jaccard.coarse(m) == jaccard.folded(np.frombuffer(m, np.uint8).astype(int), len(m) // jaccard.FOLD).astype(np.uint8).tobytes() for m in marks)
+    marks += [jaccard.coarse(m) for m in marks]
+    sets, n = sets * 2, np.tile(n, 2)
     i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
     most = jaccard.most_common(n[i], n[j], *(pa.array([marks[k] for k in x], pa.binary()) for x in (i, j)))
     assert all(m >= len(np.intersect1d(sets[a], sets[b])) for m, a, b in zip(most, i, j, strict=True))
