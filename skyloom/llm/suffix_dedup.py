@@ -57,8 +57,10 @@ SAMPLE, FREQUENT = 16, 32
 FREQUENT_KEPT = 1_000_000
 #: Runs, about, among which a task looks for equal contexts before it sends them on.
 TOGETHER = 200_000
-#: Different contexts of a key that a task compares without refining it.
-MOST_CONTEXTS = 1000
+#: Different contexts of a key that a task compares without refining it; its suffixes take some 60 KB of memory each.
+MOST_CONTEXTS = 500
+#: Bytes of texts that a task looks at together: index arrays take a hundred times as many.
+PART_BYTES = 1 << 18
 #: Told apart from a core that grew to the right.
 GREW_LEFT = np.uint64(0x3C6EF372FE94F82B)
 
@@ -149,7 +151,7 @@ def frequent_keys(docs: DataFrame, length: int, gram: int) -> list[np.ndarray]:
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for part in slices(batch, "text", 1 << 19):
+        for part in slices(batch, "text", PART_BYTES):
             levels, roll = placed(*utf8(part.column("text")), found, length, gram)
             runs = levels[-1]
             out.append(np.stack([runs.key, roll.of(runs.first, runs.last + length)]).view(np.int64))
@@ -190,7 +192,7 @@ def occurrences(docs: DataFrame, frequent: list[np.ndarray], length: int, gram:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[] for _ in range(7)]
         held = 0
-        for part in (part for batch in batches for part in slices(batch, "text", 1 << 19)):
+        for part in (part for batch in batches for part in slices(batch, "text", PART_BYTES)):
             raw, offsets = utf8(part.column("text"))
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             levels, roll = placed(raw, offsets, shared.value, length, gram)
@@ -282,7 +284,7 @@ def context_rows(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 lists = part.column("places")
                 place = lists.flatten()
                 of = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)))
@@ -312,13 +314,14 @@ class SuffixArray:
         self.offset = np.arange(len(self.context)) - np.repeat(np.cumsum(per) - per, per)
         width = int(sizes.max())
         flat = np.frombuffer(b"".join(contexts) + bytes(width), np.uint8)
-        at = (np.cumsum(sizes) - sizes)[self.context] + self.offset
         rest = sizes[self.context] - self.offset
+        # a shorter suffix stands before its extensions, also before those by NUL bytes, which the comparison ignores at the end
+        shorter = np.argsort(rest, kind="stable")
+        self.context, self.offset, rest = self.context[shorter], self.offset[shorter], rest[shorter]
+        at = (np.cumsum(sizes) - sizes)[self.context] + self.offset
         grid = np.lib.stride_tricks.sliding_window_view(flat, width)[at] if len(at) else np.zeros((0, width), np.uint8)
         grid[np.arange(width)[None] >= rest[:, None]] = 0
-        # order by bytes; a shorter suffix stands before its extensions, also before those by NUL bytes, which the comparison ignores at the end
-        shorter = np.argsort(rest, kind="stable")
-        order = shorter[np.argsort(grid.view(f"S{width}").ravel()[shorter], kind="stable")]
+        order = np.argsort(grid.view(f"S{width}").ravel(), kind="stable")
         self.order = order
         grid, rest = grid[order], rest[order]
         differ = grid[1:] != grid[:-1]
