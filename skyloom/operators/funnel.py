@@ -1,4 +1,4 @@
-"""The pair funnel: altitude bands, spatial cells, chord bounds and local minima.
+"""The pair funnel: altitude bands, spatial cells and orbit paths.
 
 Pairs are found by equi-joins on bins, never by comparing all with all: an
 object is put into each bin that it may meet another in, and a pair is kept in
@@ -72,89 +72,11 @@ def circular_states(objects: DataFrame, hours: float, step_s: int, padded: bool
     )
 
 
-def pair_tracks(pairs: DataFrame, states: DataFrame) -> DataFrame:
-    """Each pair with its track: an array over the steps of the relative state (secondary minus primary) and the primary's own.
-
-    states hold each object's steps without gaps. A path is one row before it
-    is joined, so pairs move with two arrays and not with a row for each step,
-    and what follows works within the row, without another shuffle.
-    """
-    names = [c for c in states.columns if c not in ("norad_id", "step")]
-    path = states.groupBy("norad_id").agg(F.array_sort(F.collect_list(F.struct("step", *names))).alias("path"))
-    a, b = (path.select(F.col("norad_id").alias(f"{s}_norad_id"), F.col("path").alias(s)) for s in ("primary", "secondary"))
-    joined = pairs.select(*PAIR).join(a, "primary_norad_id").join(b, "secondary_norad_id")
-
-    def state(p: Column) -> Column:
-        q = F.get("secondary", p["step"] - F.col("secondary")[0]["step"])
-        diff = [(q[c] - p[c]).alias(f"d{c}") for c in names]
-        return F.when(q["step"] == p["step"], F.struct(p["step"].alias("step"), *diff, *(p[c].alias(c) for c in names)))
-
-    track = F.filter(F.transform("primary", state), lambda x: x.isNotNull())
-    return joined.select(*PAIR, track.alias("track"))
-
-
-def separations(tracks: DataFrame) -> DataFrame:
-    """Relative position and velocity, and the primary's state, of each pair and step."""
-    return tracks.select(*PAIR, F.inline("track"))
-
-
-def _square(p: Column) -> Column:
-    return p["dx"] * p["dx"] + p["dy"] * p["dy"] + p["dz"] * p["dz"]
-
-
-def min_separation(tracks: DataFrame) -> DataFrame:
-    """The least sampled distance of each pair and the first step that has it."""
-    least = F.array_min(F.transform("track", lambda p: F.struct(_square(p).alias("d2"), p["step"].alias("step"))))
-    return tracks.filter(F.size("track") > 0).select(*PAIR, least.alias("least")).select(*PAIR, F.sqrt("least.d2").alias("min_separation_km"), F.col("least.step").alias("at_step"))
-
-
 def chord_pad_km(step_s: int) -> float:
     """How far a path may stray from its chord in one step."""
     return CHORD_PADS_KM.get(step_s, 4 / 3 * CHORD_ACCELERATION_KM_S2 * step_s**2 / 8)
 
 
-def bounds(tracks: DataFrame) -> DataFrame:
-    """tracks with bounds: for each sample (step, bound2), the squared least distance of the chords beside it.
-
-    A chord is the straight line from a sample to the next; its nearest point
-    to the origin is found in closed form. A sample's bound is the lesser of
-    the chords on its two sides.
-    """
-
-    def chord(p: Column, q: Column) -> Column:
-        d = [q[c] - p[c] for c in ("dx", "dy", "dz")]
-        a = [p[c] for c in ("dx", "dy", "dz")]
-        parts = F.struct(*(sum(x * y for x, y in zip(u, v, strict=True)).alias(n) for n, u, v in (("aa", a, a), ("ad", a, d), ("dd", d, d))))
-        # one element, so that the sums are worked out once
-        return F.transform(F.array(parts), _nearest)[0]
-
-    def _nearest(k: Column) -> Column:
-        t = F.when(k["dd"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -k["ad"] / k["dd"]))).otherwise(0.0)
-        return F.greatest(F.lit(0.0), k["aa"] + 2 * t * k["ad"] + t * t * k["dd"])
-
-    n = F.size("track")
-    chords = F.when(n > 1, F.zip_with(F.slice("track", F.lit(1), n - 1), F.slice("track", F.lit(2), n - 1), chord)).otherwise(F.array().cast("array<double>"))
-    rows = tracks.withColumn("chords", chords)
-    beside = lambda p, i: F.struct(p["step"].alias("step"), F.least(F.get("chords", i - 1), F.get("chords", i)).alias("bound2"))
-    return rows.withColumn("bounds", F.transform("track", beside)).drop("chords")
-
-
-def chord_bound(tracks: DataFrame) -> DataFrame:
-    """step and bound2 of each pair and sample."""
-    return bounds(tracks).select(*PAIR, F.inline("bounds"))
-
-
-def local_minima(rows: DataFrame, series: str, value: str, cap: float, strict_cap: bool = False) -> DataFrame:
-    """Inner samples of an array column below the one before, not above the one after, and at most (or under) cap."""
-
-    def least(p: Column, i: Column) -> Column:
-        x = p[value]
-        under = x < cap if strict_cap else x <= cap
-        return F.coalesce((x < F.get(series, i - 1)[value]) & (x <= F.get(series, i + 1)[value]) & under, F.lit(False))
-
-    return rows.select(*PAIR, F.inline(F.filter(series, least)))
-
-
 def cell_pairs(states: DataFrame, threshold_km: float) -> DataFrame:
     """Pairs that come within the threshold at some sample, with their least distance there.
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom import constants as K
-from skyloom.functions import display, frames, scoring, tle
+from skyloom.functions import display, scoring, tle
 from skyloom.operators import catalog, events, funnel
+from skyloom.operators import tracks as paths
 from skyloom.plans import synthetic
 from skyloom.plans.synthetic import NOW, table
 from skyloom.sources import snapshots, store
@@ -82,8 +83,21 @@ STATES = f"""{OBJ}, st AS (SELECT norad_id, step, r, n, radians(u0_deg) + n * (s
  xyz AS MATERIALIZED (SELECT norad_id, step, r * (cos(om) * cos(u) - sin(om) * sin(u) * cos(inc)) x, r * (sin(om) * cos(u) + cos(om) * sin(u) * cos(inc)) y, r * sin(u) * sin(inc) z,
   r * n * (-cos(om) * sin(u) - sin(om) * cos(u) * cos(inc)) vx, r * n * (-sin(om) * sin(u) + cos(om) * cos(u) * cos(inc)) vy, r * n * cos(u) * sin(inc) vz FROM st)"""
 BAND = "a.k < b.k AND a.perigee_km - b.apogee_km <= {p} AND b.perigee_km - a.apogee_km <= {p}"
-REL = f"""{STATES}, prs AS MATERIALIZED (SELECT a.norad_id pid, b.norad_id sid FROM obj a JOIN obj b ON {BAND.format(p="100")}),
- rel AS (SELECT pid, sid, a.step, b.x - a.x dx, b.y - a.y dy, b.z - a.z dz, b.vx - a.vx dvx, b.vy - a.vy dvy, b.vz - a.vz dvz, a.x, a.y, a.z, a.vx, a.vy, a.vz FROM prs JOIN xyz a ON a.norad_id = pid JOIN xyz b ON b.norad_id = sid AND b.step = a.step)"""
+
+
+def _state(s: str) -> str:
+    """Position and velocity of side s at a step, from its orbit's angles, as columns s_x ... s_vz."""
+    co, so, ci, si = (f"{f}({s}.{a})" for a in ("om", "inc") for f in ("cos", "sin"))
+    cu, su = (f"{f}({s}.u0 + {s}.n * (step * 60))" for f in ("cos", "sin"))
+    at = (f"{co} * {cu} - {so} * {su} * {ci}", f"{so} * {cu} + {co} * {su} * {ci}", f"{su} * {si}")
+    move = (f"-{co} * {su} - {so} * {cu} * {ci}", f"-{so} * {su} + {co} * {cu} * {ci}", f"{cu} * {si}")
+    return ", ".join([f"{s}.r * ({e}) {s}_{c}" for c, e in zip("xyz", at, strict=True)] + [f"{s}.r * {s}.n * ({e}) {s}_v{c}" for c, e in zip("xyz", move, strict=True)])
+
+
+XYZ = ("x", "y", "z", "vx", "vy", "vz")
+REL = f"""{OBJ}, orb AS (SELECT *, 6378.137::DOUBLE + (perigee_km + apogee_km) / 2 r, sqrt(398600.4418::DOUBLE / pow(6378.137::DOUBLE + (perigee_km + apogee_km) / 2, 3)) n, radians(u0_deg) u0, radians(raan_deg) om, radians(inclination_deg) inc FROM obj),
+ sides AS (SELECT a.norad_id pid, b.norad_id sid, step, {_state("a")}, {_state("b")} FROM orb a JOIN orb b ON {BAND.format(p="100")}, range(0, 121) g(step)),
+ rel AS (SELECT pid, sid, step, {", ".join(f"b_{c} - a_{c} d{c}" for c in XYZ)}, {", ".join(f"a_{c} {c}" for c in XYZ)} FROM sides)"""
 CHORD = f"""{REL}, seg AS (SELECT *, lead(dx) OVER w - dx u, lead(dy) OVER w - dy v, lead(dz) OVER w - dz ww FROM rel WINDOW w AS (PARTITION BY pid, sid ORDER BY step)),
  sg AS (SELECT *, dx*dx+dy*dy+dz*dz aa, dx*u+dy*v+dz*ww ad, u*u+v*v+ww*ww dd FROM seg),
  sq AS (SELECT *, CASE WHEN dd > 0 THEN greatest(0.0, least(1.0, -ad/dd)) ELSE 0.0 END t FROM sg),
@@ -96,8 +110,8 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel.circular_states(synthetic.objects(spark, sf_dir), 2, 60)
 
 
-def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return funnel.pair_tracks(funnel.band_pairs(synthetic.objects(spark, sf_dir)), states(spark, sf_dir))
+def tracks(spark: SparkSession, sf_dir: str) -> paths.Tracks:
+    return paths.pair_tracks(funnel.band_pairs(synthetic.objects(spark, sf_dir)), states(spark, sf_dir))
 
 
 # --- parsing and derivation ----------------------------------------------------------------------
@@ -226,7 +240,7 @@ def two_body_ephemeris(spark, sf_dir):
 
 @query(f"WITH {REL} SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, round(sqrt(min(dx*dx + dy*dy + dz*dz)), 4) min_separation_km FROM rel GROUP BY ALL")
 def pair_min_separation(spark, sf_dir):
-    return funnel.min_separation(tracks(spark, sf_dir)).select("primary_norad_id", "secondary_norad_id", F.round("min_separation_km", 4).alias("min_separation_km"))
+    return paths.min_separation(tracks(spark, sf_dir)).select("primary_norad_id", "secondary_norad_id", F.round("min_separation_km", 4).alias("min_separation_km"))
 
 
 @query(
@@ -245,34 +259,51 @@ def coarse_filter(spark, sf_dir):
     return funnel.coarse_filter(synthetic.objects(spark, sf_dir), states(spark, sf_dir), 300.0).withColumn("min_separation_km", F.round("min_separation_km", 4))
 
 
-@query(f"WITH {CHORD} SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, step::INT step, round(sqrt(bound2), 3) bound_km FROM bound")
+IDS = "pid::INT primary_norad_id, sid::INT secondary_norad_id"
+
+
+def _to(x: str, places: int) -> str:
+    """x to some decimal places, halves upward, in SQL; to_places is the same arithmetic in Spark, without decimals."""
+    return f"floor(({x}) * {10**places} + 0.5) / {10**places}"
+
+
+def to_places(x: Column | str, places: int) -> Column:
+    return F.floor((F.col(x) if isinstance(x, str) else x) * 10**places + 0.5) / 10**places
+
+
+@query(f"WITH {CHORD} SELECT {IDS}, step::INT step, {_to('sqrt(bound2)', 3)} bound_km FROM bound")
 def chord_bound(spark, sf_dir):
-    return funnel.chord_bound(tracks(spark, sf_dir)).select("primary_norad_id", "secondary_norad_id", "step", F.round(F.sqrt("bound2"), 3).alias("bound_km"))
+    return paths.chord_bound(tracks(spark, sf_dir)).select("primary_norad_id", "secondary_norad_id", "step", to_places(F.sqrt("bound2"), 3).alias("bound_km"))
 
 
 @query(
     f"""WITH {CHORD}, m AS (SELECT *, lag(bound2) OVER w p, lead(bound2) OVER w n FROM bound WINDOW w AS (PARTITION BY pid, sid ORDER BY step))
- SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, step::INT step, round(sqrt(bound2), 3) bound_km FROM m WHERE bound2 < p AND bound2 <= n AND bound2 <= 1000000"""
+ SELECT {IDS}, step::INT step, round(sqrt(bound2), 3) bound_km FROM m WHERE bound2 < p AND bound2 <= n AND bound2 <= 1000000"""
 )
 def local_minima(spark, sf_dir):
-    found = funnel.local_minima(funnel.bounds(tracks(spark, sf_dir)), "bounds", "bound2", 1_000_000.0)
+    found = paths.bound_minima(tracks(spark, sf_dir), 1000.0)
     return found.select("primary_norad_id", "secondary_norad_id", "step", F.round(F.sqrt("bound2"), 3).alias("bound_km"))
 
 
-@query(f"WITH {REL} SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, step::INT step, round((dx*dvx + dy*dvy + dz*dvz) / sqrt(dx*dx + dy*dy + dz*dz), 5) rate FROM rel")
+@query(
+    f"""WITH {REL}, d AS (SELECT pid, sid, step, sqrt(dx*dx + dy*dy + dz*dz) distance FROM rel), m AS (SELECT *, lag(distance) OVER w p, lead(distance) OVER w n FROM d WINDOW w AS (PARTITION BY pid, sid ORDER BY step))
+ SELECT {IDS}, step::INT step, round(distance, 3) distance_km FROM m WHERE distance < p AND distance <= n AND distance < 2000"""
+)
+def distance_minima(spark, sf_dir):
+    return paths.distance_minima(tracks(spark, sf_dir), 2000.0).withColumn("distance_km", F.round("distance_km", 3))
+
+
+@query(f"WITH {REL} SELECT {IDS}, step::INT step, {_to('(dx*dvx + dy*dvy + dz*dvz) / sqrt(dx*dx + dy*dy + dz*dz)', 5)} rate FROM rel")
 def range_rate(spark, sf_dir):
-    d, v = tuple(map(F.col, ("dx", "dy", "dz"))), tuple(map(F.col, ("dvx", "dvy", "dvz")))
-    return funnel.separations(tracks(spark, sf_dir)).select("primary_norad_id", "secondary_norad_id", "step", F.round(frames.range_rate(d, v), 5).alias("rate"))
+    return paths.range_rates(tracks(spark, sf_dir)).withColumn("rate", to_places("rate", 5))
 
 
 @query(
     f"""WITH {REL}, n AS (SELECT *, y*vz - z*vy nx, z*vx - x*vz ny, x*vy - y*vx nz FROM rel), t AS (SELECT *, ny*z - nz*y tx, nz*x - nx*z ty, nx*y - ny*x tz, sqrt(x*x+y*y+z*z) rn, sqrt(nx*nx+ny*ny+nz*nz) nn FROM n)
- SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, step::INT step, round((x*dx+y*dy+z*dz)/rn, 3) radial_km, round((tx*dx+ty*dy+tz*dz)/(rn*nn), 3) in_track_km, round((nx*dx+ny*dy+nz*dz)/nn, 3) cross_track_km FROM t"""
+ SELECT {IDS}, step::INT step, {_to('(x*dx+y*dy+z*dz)/rn', 3)} radial_km, {_to('(tx*dx+ty*dy+tz*dz)/(rn*nn)', 3)} in_track_km, {_to('(nx*dx+ny*dy+nz*dz)/nn', 3)} cross_track_km FROM t"""
 )
 def rtn_components(spark, sf_dir):
-    r, v, d = (tuple(map(F.col, c)) for c in (("x", "y", "z"), ("vx", "vy", "vz"), ("dx", "dy", "dz")))
-    parts = frames.rtn(r, v, d)
-    return funnel.separations(tracks(spark, sf_dir)).select("primary_norad_id", "secondary_norad_id", "step", *(F.round(p, 3).alias(f"{n}_km") for p, n in zip(parts, ("radial", "in_track", "cross_track"), strict=True)))
+    return paths.rtn_components(tracks(spark, sf_dir)).withColumns({c: to_places(c, 3) for c in ("radial_km", "in_track_km", "cross_track_km")})
 
 
 # --- scoring -------------------------------------------------------------------------------------
@@ -690,6 +721,15 @@ def ranked_events(spark, sf_dir):
     return events.score_approaches(found, catalog.build_objects(p), now()).orderBy(F.desc("risk_score"), "tca", "event_id")
 
 
+@query()
+def closest_pairs(spark, sf_dir):
+    """The closest approach within 72 h of every pair in band, however far."""
+    from skyloom.operators import screening
+
+    p = parsed(spark, sf_dir)
+    return screening.closest_approaches(p, funnel.band_pairs(p.filter("parse_error is null")), EPOCH_2024, SCREENING_HOURS)
+
+
 @query()
 def geometry_samples(spark, sf_dir):
     from skyloom.operators import screening
