@@ -99,7 +99,7 @@ def test_fine_screen_finds_what_a_finer_grid_finds(spark):
     start, hours, limit = 1704067200.0, 3.0, 150.0
     ids = parsed.select("norad_id")
     pairs = ids.alias("a").join(ids.alias("b"), F.col("a.norad_id") < F.col("b.norad_id")).select(F.col("a.norad_id").alias("primary_norad_id"), F.col("b.norad_id").alias("secondary_norad_id"))
-    found = screening.approaches(screening.fine_screen(parsed, pairs, start, hours, limit, block_objects=7)).toPandas()
+    found = screening.approaches(screening.fine_screen(parsed, pairs, start, hours, limit, cell_km=4000.0)).toPandas()
     rows = parsed.toPandas()
     times = start + np.arange(0, hours * 3600 + 1, 2.0)
     el = screening.elements_of(rows.assign(epoch_s=start))
@@ -141,7 +141,7 @@ def test_production_screen_and_its_counts(spark):
     """72 h, 60 s, 10 km with the band filter: every approach of a dense grid, from blocks of any size, and counts that nest."""
     parsed = synthetic(spark, 30).withColumns({"perigee_km": F.lit(500.0) + F.col("norad_id") % 2 * 40, "apogee_km": F.lit(560.0)}).cache()
     start = 1704067200.0
-    screened = screening.fine_screen(parsed, None, start, 72.0, counts=True, block_objects=11).cache()
+    screened = screening.fine_screen(parsed, None, start, 72.0, counts=True, cell_km=12000.0).cache()
     found = screening.approaches(screened).toPandas()
     at = (found.tca - pd.Timestamp("1970-01-01")).dt.total_seconds().to_numpy()
     truth = dense_minima(parsed.toPandas(), start, 72.0, 9.5)
@@ -211,3 +211,43 @@ def test_orbit_paths_never_drop_orbits_that_meet(spark):
         path.append(np.stack([r * (np.cos(o) * np.cos(u) - np.sin(o) * np.sin(u) * np.cos(i)), r * (np.sin(o) * np.cos(u) + np.cos(o) * np.sin(u) * np.cos(i)), r * np.sin(u) * np.sin(i)], 1))
     meet = {(i, j) for i in range(n) for j in range(i + 1, n) if np.sqrt(((path[i][:, None] - path[j][None]) ** 2).sum(2)).min() < reach}
     assert meet and meet <= kept and len(kept) < 0.9 * n * (n - 1) / 2
+
+
+@pytest.mark.parametrize("cell_km", [2000.0])
+def test_cells_change_no_approach(spark, cell_km):
+    """Paths dealt to narrow cells, their sides crossed all the time, give each approach once, as one cell for all does."""
+    parsed = synthetic(spark, 24).withColumns({"perigee_km": F.lit(500.0), "apogee_km": F.lit(500.0)}).cache()
+    start, hours, limit = 1704067200.0, 3.0, 150.0
+
+    def found(width):
+        rows = screening.fine_screen(parsed, None, start, hours, limit, cell_km=width, counts=True).toPandas()
+        near = rows[rows.stage == "approach"]
+        passes = {s: set(zip(own.a if "a" in own else own.primary_norad_id, own.secondary_norad_id)) for s, own in rows.groupby("stage")}
+        return sorted(zip(near.primary_norad_id, near.secondary_norad_id, near.tca_s.round(3))), passes
+
+    narrow, wide = found(cell_km), found(1e9)
+    assert len(wide[0]) > 5 and narrow == wide
+
+
+def test_paths_are_sent_on_about_once(spark):
+    """Pieces of paths grow with the objects, and hold each sample about once however many cells there are."""
+    times = screening.grid(1704067200.0, 2.0, 60, padded=True)
+    sent = {}
+    for n in (8, 16):
+        for width in (1e9, 4000.0):
+            rows = screening.pieces(synthetic(spark, n), times, False, 2, (22.0, None), width).selectExpr("octet_length(path) / 12 AS samples", "s1 - s0 AS segments").toPandas()
+            sent[n, width] = (rows.samples.sum(), rows.segments.sum())
+    for width in (1e9, 4000.0):
+        assert abs(sent[16, width][0] / sent[8, width][0] - 2) < 0.2
+    assert sent[16, 1e9][1] == 16 * (len(times) - 1) and sent[16, 4000.0][1] < 1.5 * sent[16, 1e9][1] and sent[16, 4000.0][0] < 2.5 * sent[16, 1e9][0]
+
+
+def test_candidates_are_counted_from_sorted_altitudes(spark):
+    rng = np.random.default_rng(2)
+    low = np.round(300 + 40 * rng.random(60) * rng.integers(1, 30, 60), 1)
+    high = low + np.round(90 * rng.random(60), 1)
+    rows = [("usable", k, k, None, float(a), float(b)) for k, (a, b) in enumerate(zip(low, high))] + [("pass1", 1, 2, None, None, None)] * 2
+    screened = spark.createDataFrame(rows, "stage string, primary_norad_id int, secondary_norad_id int, tca_s double, px double, py double")
+    n = {r.stage: r.n for r in screening.pass_counts(screened).collect()}
+    want = sum(low[i] - high[j] <= 100 and low[j] - high[i] <= 100 for i in range(60) for j in range(i + 1, 60))
+    assert n == {"usable": 60, "candidates": want, "pass1": 1}
