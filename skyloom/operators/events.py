@@ -70,10 +70,10 @@ def check_page(limit: int = 50, offset: int = 0, min_score: float | None = None,
         raise ValueError("hours is over 0, to 168")
 
 
-def page(rows: DataFrame, order: list[str], limit: int = 50, offset: int = 0) -> tuple[DataFrame, int]:
-    """One page in the given order and the number of all rows."""
+def page(rows: DataFrame, order: list[str], limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """One page in the given order and, as a row with n, the number of all rows; neither is worked out before it is asked for."""
     check_page(limit, offset)
-    return rows.orderBy(*order).offset(offset).limit(limit), rows.count()
+    return rows.orderBy(*order).offset(offset).limit(limit), rows.agg(F.count("*").alias("n"))
 
 
 def filter_objects(objects: DataFrame, q: str | None = None, object_type: str | None = None) -> DataFrame:

@@ -45,6 +45,17 @@ def pair_totals(objects: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.when(F.col("total") > 0, F.col("surviving") / F.col("total")).otherwise(0.0))
 
 
+def time_grid(rows: DataFrame, start_s: str, hours: str, step_s: int) -> DataFrame:
+    """rows, each with the samples of its window: step and t_s (unix seconds), every step_s from start_s on, both ends included.
+
+    A row with a negative or null window has none.
+    """
+    if step_s <= 0:
+        raise ValueError("step_s must be positive")
+    n = F.floor(F.col(hours) * 3600 / step_s).cast("int")
+    return rows.withColumn("step", F.explode(F.when(n >= 0, F.sequence(F.lit(0), n)))).withColumn("t_s", F.col(start_s) + F.col("step").cast("long") * step_s)
+
+
 def circular_states(objects: DataFrame, hours: float, step_s: int, padded: bool = False) -> DataFrame:
     """Two-body states of circular orbits of mean altitude: norad_id, step, position and velocity.
 

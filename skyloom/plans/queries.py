@@ -227,10 +227,11 @@ def band_stats(spark, sf_dir):
     return funnel.pair_totals(o, funnel.band_pairs(o)).withColumn("ratio", F.round("ratio", 9))
 
 
-@query("SELECT i::INT AS step, epoch(TIMESTAMP '2024-01-01 00:00:00')::BIGINT + i * 300 AS t_s FROM range(0, 289) g(i)")
+@query("SELECT o_orderkey, i::INT AS step, epoch(o_orderdate)::BIGINT + i * 3600 AS t_s FROM orders, LATERAL (SELECT unnest(range(0, o_custkey % 24 + 1)) i)")
 def time_grid(spark, sf_dir):
-    start = F.unix_timestamp(now())
-    return spark.range(24 * 3600 // 300 + 1).select(F.col("id").cast("int").alias("step"), (start + F.col("id") * 300).alias("t_s"))
+    """A grid of hourly samples from each order's date, over a window that depends on its customer."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("start_s"), (F.col("o_custkey") % 24).alias("hours"))
+    return funnel.time_grid(rows, "start_s", "hours", 3600).select("o_orderkey", "step", "t_s")
 
 
 @query(f"WITH {STATES} SELECT norad_id::INT norad_id, step::INT step, {', '.join(f'round({c}, 4) {c}' for c in ('x', 'y', 'z'))}, {', '.join(f'round({c}, 6) {c}' for c in ('vx', 'vy', 'vz'))} FROM xyz")
@@ -414,28 +415,37 @@ def catalog_status(spark, sf_dir):
     return s.select("object_count", F.unix_timestamp("last_refresh").alias("last_refresh_s"), F.unix_timestamp("next_refresh").alias("next_refresh_s"), "source", *ages, "pairs_considered", "events_found")
 
 
-COUNTS = "VALUES (1000, 497503, 281265, 77710, 9390, 4681), (2000, 1991010, 1157067, 338507, 37033, 18531), (4000, 7978015, 4581177, 1380211, 146427, 72939)"
+#: Stages of a funnel of ever tighter altitude bands, by their pads in km.
+PADS = {"survivors": 100.0, "pass1": 25.0, "pass2": 5.0, "events": 0.0}
+COUNTS = f"""{OBJ}, grp AS (SELECT obj.*, n_regionkey region FROM obj JOIN supplier s ON k = s.s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+ tot AS (SELECT region, (count(*) * (count(*) - 1) // 2)::BIGINT total FROM grp GROUP BY region),
+ prs_ AS (SELECT a.region, {", ".join(f"count(*) FILTER (a.perigee_km - b.apogee_km <= {p} AND b.perigee_km - a.apogee_km <= {p}) {c}" for c, p in PADS.items())} FROM grp a JOIN grp b ON a.region = b.region AND a.k < b.k GROUP BY a.region),
+ cnt AS (SELECT region, total, {", ".join(f"coalesce({c}, 0) {c}" for c in PADS)} FROM tot LEFT JOIN prs_ USING (region))"""
 
 
-def published_counts(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {COUNTS} AS t(n, total, survivors, pass1, pass2, events)")
+def region_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of objects of one region (of their supplier's nation): all, and those that each stage keeps."""
+    of = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("k"), F.col("n_regionkey").alias("region"))
+    objects = synthetic.objects(spark, sf_dir).join(of, "k")
+    region = objects.select("norad_id", "region")
+    out = objects.groupBy("region").agg((F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("total"))
+    for stage, pad in PADS.items():
+        pairs = funnel.band_pairs(objects, pad).join(region.withColumnRenamed("norad_id", "primary_norad_id"), "primary_norad_id").join(region.withColumnsRenamed({"norad_id": "secondary_norad_id", "region": "other"}), "secondary_norad_id")
+        out = out.join(pairs.filter("region = other").groupBy("region").agg(F.count("*").alias(stage)), "region", "left")
+    return out.na.fill(0)
 
 
-@query(
-    f"""SELECT n, round(survivors::DOUBLE / total, 6) survival, round(pass1::DOUBLE / survivors, 6) pass1_rate, round(pass2::DOUBLE / pass1, 6) pass2_rate, round(events::DOUBLE / pass2, 6) event_rate, round(events::DOUBLE / total, 6) events_per_pair
- FROM ({COUNTS}) t(n, total, survivors, pass1, pass2, events)"""
-)
-def funnel_rates(spark, sf_dir):
-    rates = ("survival", "pass1_rate", "pass2_rate", "event_rate", "events_per_pair")
-    return funnel.funnel_rates(published_counts(spark)).select("n", *(F.round(c, 6).alias(c) for c in rates))
+RATES = {"survival": ("survivors", "total"), "pass1_rate": ("pass1", "survivors"), "pass2_rate": ("pass2", "pass1"), "event_rate": ("events", "pass2"), "events_per_pair": ("events", "total")}
 
 
-FIT = ("survivors", "pass1", "pass2", "events")
+@query(f"WITH {COUNTS} SELECT region, {', '.join(f'round(CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END, 6) {c}' for c, (a, b) in RATES.items())} FROM cnt")
+def funnel_rates(spark, sf_dir):
+    return funnel.funnel_rates(region_counts(spark, sf_dir)).select("region", *(F.round(c, 6).alias(c) for c in RATES))
 
 
-@query(f"SELECT {', '.join(f'round(regr_slope(ln({c}), ln(total)), 6) {c}_exponent' for c in FIT)} FROM ({COUNTS}) t(n, total, survivors, pass1, pass2, events)")
+@query(f"WITH {COUNTS} SELECT {', '.join(f'round(regr_slope(CASE WHEN {c} > 0 THEN ln({c}) END, CASE WHEN total > 0 THEN ln(total) END), 6) {c}_exponent' for c in PADS)} FROM cnt")
 def loglog_fit(spark, sf_dir):
-    fit = funnel.growth_exponents(published_counts(spark), FIT)
+    fit = funnel.growth_exponents(region_counts(spark, sf_dir), tuple(PADS))
     return fit.select(*(F.round(c, 6).alias(c) for c in fit.columns))
 
 
@@ -514,13 +524,14 @@ def dedupe_first(spark, sf_dir):
 
 
 @query(
-    """WITH cur AS (SELECT user_id, max(event_id) event_id FROM events WHERE event_id % 2 = 0 GROUP BY 1), inc AS (SELECT user_id, max(event_id) event_id FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+    """WITH cur AS (SELECT user_id, max(event_id) event_id FROM events WHERE event_id % 2 = 0 GROUP BY 1), inc AS (SELECT user_id, max(event_id) event_id FROM events WHERE event_id % 2 <> 0 GROUP BY 1)
  SELECT user_id, event_id FROM cur WHERE user_id NOT IN (SELECT user_id FROM inc) UNION ALL SELECT user_id, event_id FROM inc"""
 )
 def upsert_last_wins(spark, sf_dir):
+    """The table of the even events, into which all odd ones are put."""
     e = table(spark, sf_dir, "events")
     current = e.filter("event_id % 2 = 0").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-    return store.upsert(current, e.filter("event_id % 3 = 0").select("user_id", "event_id"), "user_id", "event_id")
+    return store.upsert(current, e.filter("event_id % 2 <> 0").select("user_id", "event_id"), "user_id", "event_id")
 
 
 @query(

@@ -120,4 +120,4 @@ def load_catalog(spark: SparkSession, path: str, now: Column, rcs: DataFrame | N
     raw = spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("raw"))
     raw = raw.withColumn("raw", F.when(is_diagnostic(F.col("raw")), F.raise_error(F.lit("the snapshot is a server message"))).otherwise(F.col("raw")))
     parsed = tle.parse(split_records(raw), now)
-    return first_of(build_objects(parsed, rcs), "norad_id", "epoch", "tle_line1"), parsed
+    return build_objects(first_of(parsed.filter("parse_error IS NULL"), "norad_id", "rec_no"), rcs), parsed

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyloom.operators.events import missing_references
 from skyloom.schemas import CATALOG_SCHEMA, EVENT_SCHEMA, RUN_SCHEMA
@@ -18,6 +19,37 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, order: str) -> Dat
     return current.join(last, key, "left_anti").unionByName(last)
 
 
+#: Folders of a merged table, by a hash of its key.
+BUCKETS = 64
+
+
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table that merge_into keeps; no rows where there is none yet."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def merge_into(path: str, incoming: DataFrame, key: str, order: str, buckets: int = BUCKETS) -> None:
+    """Put rows into the stored table by key: a row of a known key replaces it, of several incoming ones the last by order wins.
+
+    The table lies in folders by a hash of the key. Only the folders that
+    incoming rows fall into are read and written anew (dynamic partition
+    overwrite), so a merge costs what it touches; merging the same rows again
+    changes nothing. One writer at a time.
+    """
+    spark, schema = incoming.sparkSession, incoming.schema
+    part = (F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")
+    touched = [r.bucket for r in incoming.select(part.alias("bucket")).distinct().collect()]  # at most `buckets` numbers
+    if not touched:
+        return
+    known = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    current = read_table(spark, path, known).filter(F.col("bucket").isin(touched)).drop("bucket")
+    merged = upsert(current, incoming, key, order).withColumn("bucket", part)
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def upsert_run(runs: DataFrame, run: DataFrame, within_s: float = 1.0) -> DataFrame:
     """runs with one run put in: it replaces the counters of a run that started within a second, or is new.
 

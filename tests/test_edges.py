@@ -5,6 +5,7 @@ import urllib.error
 import os
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,11 +182,52 @@ def test_stream(spark, tmp_path):
     folder.mkdir()
     (folder / "active_20080920T130000Z.tle").write_text("\n".join([*ISS, *VANGUARD]) + "\n")
     seen = []
-    query = refresh.refresh(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "ck"), hours=1, on_events=lambda df, n: seen.append(df.count()))
-    query.awaitTermination(120)
-    assert query.exception() is None and len(seen) == 1
-    assert spark.read.parquet(str(tmp_path / "out/objects")).count() == 2
-    counts = spark.read.parquet(str(tmp_path / "out/counts"))
+    out = str(tmp_path / "out")
+    tables = lambda: {t: sorted(map(str, (r.asDict() for r in store.read_table(spark, f"{out}/{t}", k).drop("last_screen_duration_s").collect()))) for t, k in (("objects", schemas.CATALOG_SCHEMA), ("conjunctions", schemas.EVENT_SCHEMA), ("status", schemas.STATUS_SCHEMA))}
+    for attempt in ("ck", "again"):  # the second run replays the same batch from a new checkpoint
+        query = refresh.refresh(spark, str(folder), out, str(tmp_path / attempt), hours=1, on_events=lambda df, n: seen.append(df.count()))
+        query.awaitTermination(120)
+        assert query.exception() is None
+        first = tables() if attempt == "ck" else first
+    assert len(seen) == 2 and tables() == first
+    assert spark.read.parquet(f"{out}/objects").count() == 2
+    counts = spark.read.parquet(f"{out}/counts")
     assert counts.filter("stage = 'candidates'").count() == 1
-    message = refresh.snapshot_messages(spark.read.parquet(str(tmp_path / "out/conjunctions"))).schema
+    status = spark.read.parquet(f"{out}/status").collect()
+    assert len(status) == 1 and status[0].object_count == 2 and status[0].pairs_considered == 1 and status[0].epoch_age_hours["max"] > 24 and status[0].next_refresh > status[0].last_refresh
+    # a later snapshot of one object replaces it, and adds a status row
+    (folder / "active_20080920T150000Z.tle").write_text("\n".join(["ISS (RENAMED)", *ISS[1:], *VANGUARD]) + "\n")
+    refresh.refresh(spark, str(folder), out, str(tmp_path / "ck"), hours=1).awaitTermination(120)
+    assert {r.name for r in spark.read.parquet(f"{out}/objects").collect()} == {"ISS (RENAMED)", VANGUARD[0]} and spark.read.parquet(f"{out}/status").count() == 2
+    message = refresh.snapshot_messages(store.read_table(spark, f"{out}/conjunctions", schemas.EVENT_SCHEMA)).schema
     assert message.fieldNames() == ["value"] and os.path.isdir(tmp_path / "ck")
+
+
+def test_newest_elements_of_several_snapshots(spark, tmp_path):
+    rows = [(f"/x/a_{k}.tle", "\n".join([f"ISS {k}", *ISS[1:], *VANGUARD]), T0.replace(hour=h)) for k, h in ((1, 5), (2, 9), (3, 7))]
+    done = refresh.screen_snapshot(spark.createDataFrame(rows, "path string, raw string, fetched_at timestamp"), None, 1.0, 10.0, str(tmp_path / "work"))
+    assert {r.name for r in done.objects.collect()} == {"ISS 2", VANGUARD[0]}
+
+
+def test_merge_touches_only_its_folders(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "id long, v string, at long"
+    store.merge_into(path, spark.createDataFrame([(k, "old", 0) for k in range(200)], schema), "id", "at", 16)
+    written = lambda: {f.path: f.modificationTime for f in spark.read.format("binaryFile").load(f"{path}/*/*.parquet").select("path", "modificationTime").collect()}
+    before = written()
+    for _ in range(2):
+        store.merge_into(path, spark.createDataFrame([(7, "first", 1), (7, "last", 2), (900, "new", 1)], schema), "id", "at", 16)
+        got = {r.id: r.v for r in store.read_table(spark, path, schema).collect()}
+        assert len(got) == 201 and got[7] == "last" and got[900] == "new" and all(v == "old" for k, v in got.items() if k not in (7, 900))
+    assert len(set(before) & set(written())) >= 13
+    store.merge_into(path, spark.createDataFrame([], schema), "id", "at", 16)
+    assert store.read_table(spark, str(tmp_path / "none"), schema).count() == 0
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(8)
+    for values in ([5.0], [1.0, 2.0], [3.0] * 50 + [4.0], (1000 * rng.random(777)).tolist(), np.round(9 * rng.random(500)).tolist(), [-7.5, 2.0, 2.0, 1e9]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        got = catalog.quantiles(df, "v", {"a": 0.5, "b": 0.9, "c": 0.0, "d": 1.0}).first()
+        assert np.allclose(tuple(got), np.quantile(values, [0.5, 0.9, 0, 1]), rtol=1e-12)
+    assert tuple(catalog.quantiles(df.limit(0), "v", {"a": 0.5}).first()) == (None,)
+    assert tuple(catalog.age_summary(df.limit(0), "v").first()) == (0, 0.0, 0.0, 0.0)
