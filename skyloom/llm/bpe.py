@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import map_arrow, slices
+from skyloom.llm.common import map_arrow, map_batches, slices
 
 #: Pre-token pattern of the public byte-level vocabulary (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -212,7 +212,7 @@ def bpe_encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
             out = [part.column("doc_id"), pa.array(np.diff(tokens_at), pa.int64()), ids, pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def bpe_digests(encoded: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import words
-from skyloom.llm.common import map_arrow, materialise, partitions, slices, utf8
+from skyloom.llm.common import map_arrow, map_batches, materialise, partitions, slices, utf8
 from skyloom.llm.components import components
 
 WIDTH = 5
@@ -206,7 +206,7 @@ def profiles(docs: DataFrame, width: int, near: tuple[int, int]) -> DataFrame:
                 cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketch, pa.binary()), pa.array(small, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "key", "sketch", "coarse", "boundary"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key long, sketch binary, coarse binary, boundary array<long>")
+    return map_batches(docs, run, "doc_id long, n long, key long, sketch binary, coarse binary, boundary array<long>")
 
 
 def regions(profile: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def regions(profile: DataFrame) -> DataFrame:
         if ids:
             yield batch_of(ids, members, kinds)
 
-    return dealt.mapInArrow(run, "region long, members array<long>, kind int")
+    return map_batches(dealt, run, "region long, members array<long>, kind int")
 
 
 def local_pairs(found: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
     a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long, common long, all long")
+    return map_batches(pairs.join(a, "a").join(b, "b"), run, "a long, b long, common long, all long")
 
 
 def large_regions(found: DataFrame) -> DataFrame:
@@ -433,7 +433,7 @@ def rest_of_large(large: DataFrame, group: DataFrame, tested: DataFrame, nodes:
         region, i, j = (rows.column(c).to_numpy() for c in ("region", "i", "j"))
         return [0, *(np.flatnonzero((region[1:] != region[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()]
 
-    pairs = dealt.mapInArrow(run, "a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = map_batches(dealt, run, "a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     distance = 1 - F.col("common") / F.col("all")
     far = 1 - near[0] / near[1] + 1e-9
     to = tested.select(F.col("a").alias("p"), F.col("b").alias("key"), distance.alias("d")).union(tested.select(F.col("b"), F.col("a"), distance))

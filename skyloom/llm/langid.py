@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import crc_mod, map_arrow, slices, utf8
+from skyloom.llm.common import crc_mod, map_arrow, map_batches, slices, utf8
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc
                 cols = [batch.column(c) for c in keep] + [pa.array(told, pa.string()), pa.array(np.concatenate(scores), pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, [*keep, *names])
 
-    return kept.mapInArrow(run, out_schema)
+    return map_batches(kept, run, out_schema)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import words
-from skyloom.llm.common import materialise, partitions, slices, unused, utf8
+from skyloom.llm.common import map_batches, materialise, partitions, slices, unused, utf8
 
 #: No document is taken more often.
 MOST_COPIES = 3
@@ -62,7 +62,7 @@ def with_sizes(docs: DataFrame, name: str) -> DataFrame:
                 count = words.split(*utf8(part.column("text")), ~words.SPACES).count
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(count, pa.int64())], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias(name)).schema)
+    return map_batches(docs, run, docs.select("*", F.lit(0).cast("long").alias(name)).schema)
 
 
 def in_order(stats: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def in_order(stats: DataFrame) -> DataFrame:
 
     order = F.asc_nulls_last("source")
     dealt = stats.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
-    placed = materialise(dealt.mapInArrow(run, "source string, source_size long, n_docs long, part int, at long"), "sources")
+    placed = materialise(map_batches(dealt, run, "source string, source_size long, n_docs long, part int, at long"), "sources")
     counts = {r.part: r.n for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
     before = {p: sum(n for q, n in counts.items() if q < p) for p in counts}
     known = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else F.lit(None).cast("map<int,int>")
@@ -172,7 +172,7 @@ def mix_rows(docs: DataFrame, keep: list[str], names: dict[str, str], weights: t
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out_names), pa.array(copies, pa.int32())], [*out_names, names["copies"]])
 
     schema = dealt.select(*out_names, F.lit(0).alias(names["copies"])).schema
-    return dealt.mapInArrow(run, schema)
+    return map_batches(dealt, run, schema)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:

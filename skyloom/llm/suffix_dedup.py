@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import words
-from skyloom.llm.common import map_arrow, materialise, partitions, slices, unused, utf8
+from skyloom.llm.common import map_arrow, map_batches, materialise, partitions, slices, unused, utf8
 
 LENGTH = 100
 #: Bytes of a core at first.
@@ -224,7 +224,7 @@ def occurrences(docs: DataFrame, frequent: list[np.ndarray], length: int, gram:
         arrays = [pa.concat_arrays([pa.array(x, t), pa.nulls(rest, t) if y is None else pa.array(y, t)]) for x, y, t in zip(out, more, types, strict=True)]
         return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in OCCURRENCE.split(", ")])
 
-    return docs.mapInArrow(run, OCCURRENCE)
+    return map_batches(docs, run, OCCURRENCE)
 
 
 def later_and_shared(rows: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def later_and_shared(rows: DataFrame) -> DataFrame:
             yield from (x for x in out if x.num_rows)
 
     dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "mark", "doc_id", "start")
-    return dealt.mapInArrow(run, OCCURRENCE)
+    return map_batches(dealt, run, OCCURRENCE)
 
 
 def context_rows(texts: DataFrame) -> DataFrame:
@@ -301,7 +301,7 @@ def context_rows(texts: DataFrame) -> DataFrame:
                 cols = [place.field("key"), place.field("level"), place.field("core"), part.column("doc_id").take(pa.array(of)), place.field("start"), contexts]
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, kinds, strict=True)], ["key", "level", "core", "doc_id", "start", "context"])
 
-    return texts.mapInArrow(run, "key long, level int, core int, doc_id long, start int, context binary")
+    return map_batches(texts, run, "key long, level int, core int, doc_id long, start int, context binary")
 
 
 class SuffixArray:
@@ -455,7 +455,7 @@ def compare_contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
         yield from flush()
 
     dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "level", "doc_id", "start")
-    return dealt.mapInArrow(run, "doc_id long, start int, stop int")
+    return map_batches(dealt, run, "doc_id long, start int, stop int")
 
 
 def removed_lists(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -505,7 +505,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                     out.append((doc_id, len(raw), len(raw) - len(kept), spans, kept))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
+    return map_batches(rows, run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -524,5 +524,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 cols = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    cut = rows.mapInArrow(run, docs.schema)
+    cut = map_batches(rows, run, docs.schema)
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut
