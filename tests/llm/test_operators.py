@@ -466,11 +466,50 @@ def test_factors_learn_interactions():
         a, b = rng.random() < 0.5, rng.random() < 0.5
         texts.append(np.array([t for t, has in ((11, a), (22, b)) if has] + [int(rng.integers(100, 900))], np.int64))
         y.append(float(a and b))
-    m = toxicity.train(texts, np.array(y), 400)
+    place = np.full(1 << toxicity.TABLE_BITS, -1, np.int32)
+    place[[11, 22]] = 0, 1
+    numbers = [place[t][place[t] >= 0] for t in texts]
+    m = toxicity.train(numbers, np.array(y), place, 400)
     one = lambda *t: toxicity.scores(*toxicity.pairs(np.zeros(len(t), np.int64), m.place[np.array(t)].astype(np.int64)), 1, m)[0]
     assert one(11, 22) > 0 > max(one(11), one(22))
 
 
+def test_group_that_clean_texts_name_as_often(spark):
+    """An insult is toxic with a group; the group alone is as common in clean texts, and the insult stands in some of these."""
+    rng = random.Random(4)
+    docs, labels = [], []
+    for k in range(1500):
+        toxic = k % 5 == 0
+        w = [f"w{rng.randrange(300)}" for _ in range(30)]
+        if toxic:
+            w += ["grak", "zorps"] if k % 10 else ["vlim"]
+        elif rng.random() < 0.5:
+            w += ["zorps"]
+        elif rng.random() < 0.3:
+            w += ["grak"]
+        rng.shuffle(w)
+        docs.append((k, " ".join(w)))
+        labels.append((k, int(toxic)))
+    tests = [(5000, "grak zorps"), (5001, "grak"), (5002, "zorps"), (5003, "vlim"), (5004, "w1 w2")]
+    every = spark.createDataFrame(docs + tests, "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.toxicity(every, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [got[5000 + k].predicted for k in range(5)] == [1, 0, 0, 1, 0]
+    held = [(got[k].predicted, y) for k, y in labels if got[k].held_out]
+    assert np.mean([p == y for p, y in held]) > 0.98
+
+
+def test_scores_are_those_of_plain_sums():
+    """Scores of a small machine against sums over all pairs of terms."""
+    rng = np.random.default_rng(2)
+    place = np.full(1 << toxicity.TABLE_BITS, -1, np.int32)
+    place[:9] = range(9)
+    m = toxicity.Machine(place, 0.3, rng.normal(size=9), rng.normal(size=(9, toxicity.FACTORS)))
+    texts = [[], [3], [0, 1, 8], list(range(9))]
+    doc, term = np.repeat(np.arange(4), [len(t) for t in texts]), np.concatenate([np.array(t, np.int64) for t in texts]).astype(np.int64)
+    want = [0.3 + sum(m.linear[a] for a in t) + sum(m.factors[a] @ m.factors[b] for i, a in enumerate(t) for b in t[i + 1 :]) for t in texts]
+    assert np.allclose(toxicity.scores(doc, term, 4, m), want)
+
+
 def test_words_match_regex():
     for t in ("A b  c\tD\x0be é f", "", "   ", "x"):
         raw = np.frombuffer(t.encode(), np.uint8)
