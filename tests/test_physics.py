@@ -251,3 +251,14 @@ def test_candidates_are_counted_from_sorted_altitudes(spark):
     n = {r.stage: r.n for r in screening.pass_counts(screened).collect()}
     want = sum(low[i] - high[j] <= 100 and low[j] - high[i] <= 100 for i in range(60) for j in range(i + 1, 60))
     assert n == {"usable": 60, "candidates": want, "pass1": 1}
+
+
+def test_runaway_paths_stand_in_few_cells():
+    """Elements long out of date may lead an object millions of kilometres away within a step: that must not make as many cells."""
+    path = np.cumsum(np.full((200, 3), 3e7), axis=0).astype(np.float32)
+    path[0] = 7000, 0, 0
+    for width in (1e9, 1.2e5, 4000.0):
+        segment, cell = screening.cells_of(path, 22.0, width)
+        assert set(segment) == set(range(199)) and len(segment) <= 199 + 64 * 64
+    near = screening.cells_of(np.array([[7000, 0, 0], [7000, 400, 0]], np.float32), 22.0, 4000.0)
+    assert len(near[0]) == 1
