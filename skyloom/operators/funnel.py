@@ -112,18 +112,25 @@ def cell_pairs(states: DataFrame, threshold_km: float) -> DataFrame:
     return near.groupBy(*PAIR).agg(F.sqrt(F.min("d2")).alias("min_separation_km"))
 
 
-def orbit_path_filter(pairs: DataFrame, elements: DataFrame, reach_km: float) -> DataFrame:
-    """Pairs whose orbits as fixed ellipses may come within reach_km of each other.
+#: Arcs around the common line are told apart from its other end only while sin(arc) stays below this.
+NARROW = 0.7
 
-    elements: norad_id, perigee_km, apogee_km, inclination_deg, raan_deg,
-    arg_perigee_deg. Points of two orbits that are near each other are near
-    both planes, so both stand within an arc around the planes' common line;
-    a pair goes only if the radii over these arcs stay apart on both sides of
-    the line. It never drops orbits that meet; precession is not in it.
+
+def on_common_lines(pairs: DataFrame, elements: DataFrame, reach_km: float) -> DataFrame:
+    """Each pair with its orbits' angles and, for each end of the planes' common line, where on the orbits it lies.
+
+    Columns are those of elements that the filters need, ending in _a and _b,
+    and for each end 1 and 2 and side: nu, the true anomaly of the line's end,
+    and arc, how far from it the orbit may stand within reach_km of the other
+    plane (pi: anywhere). Points of two orbits that are near each other are
+    near both planes, so both stand in these arcs around one end of the line;
+    with narrow arcs points at different ends are farther apart than reach_km.
     """
     el = elements.select(
         "norad_id",
         *((F.col(c) * F.pi() / 180).alias(n) for c, n in (("inclination_deg", "i"), ("raan_deg", "o"), ("arg_perigee_deg", "w"))),
+        *((F.col(c) * F.pi() / 180).alias(n) for c, n in (("mean_anomaly_deg", "m"),) if c in elements.columns),
+        *(F.col(c).alias(n) for c, n in (("epoch_s", "at"),) if c in elements.columns),
         (F.col("perigee_km") + EARTH_RADIUS_KM).alias("rp"),
         (F.col("apogee_km") + EARTH_RADIUS_KM).alias("ra"),
     ).withColumns({"nx": F.sin("o") * F.sin("i"), "ny": -F.cos("o") * F.sin("i"), "nz": F.cos("i")})
@@ -132,33 +139,104 @@ def orbit_path_filter(pairs: DataFrame, elements: DataFrame, reach_km: float) ->
     na, nb = (tuple(F.col(f"n{c}_{s}") for c in "xyz") for s in "ab")
     line = (na[1] * nb[2] - na[2] * nb[1], na[2] * nb[0] - na[0] * nb[2], na[0] * nb[1] - na[1] * nb[0])
     rows = rows.withColumns({"lx": line[0], "ly": line[1], "lz": line[2]}).withColumn("tilt", F.sqrt(F.col("lx") * F.col("lx") + F.col("ly") * F.col("ly") + F.col("lz") * F.col("lz")))
-
-    def radii(s: str, side: int) -> tuple[Column, Column]:
-        """Least and greatest radius over the arc of orbit s around one end of the common line."""
+    ratios = [reach_km / (F.col(f"rp_{s}") * F.col("tilt")) for s in "ab"]
+    narrow = (F.col("tilt") > 0) & (F.greatest(*ratios) < NARROW)
+    out = {}
+    for s, ratio in zip("ab", ratios, strict=True):
         node_x, node_y = F.cos(f"o_{s}"), F.sin(f"o_{s}")
-        along = side * (F.col("lx") * node_x + F.col("ly") * node_y)
-        # the in-plane axis a quarter turn ahead of the node
-        ahead = side * (-F.col("lx") * F.cos(f"i_{s}") * node_y + F.col("ly") * F.cos(f"i_{s}") * node_x + F.col("lz") * F.sin(f"i_{s}"))
-        anomaly = F.atan2(ahead, along) - F.col(f"w_{s}")
-        ratio = reach_km / (F.col(f"rp_{s}") * F.col("tilt"))
-        arc = F.when((F.col("tilt") > 0) & (ratio < 1), F.asin(F.least(ratio, F.lit(1.0)))).otherwise(F.pi())
-        rp, ra = F.col(f"rp_{s}"), F.col(f"ra_{s}")
+        out[f"arc_{s}"] = F.when(narrow, F.asin(F.least(ratio, F.lit(NARROW)))).otherwise(F.pi())
+        for end, sign in ((1, 1), (2, -1)):
+            along = sign * (F.col("lx") * node_x + F.col("ly") * node_y)
+            # the in-plane axis a quarter turn ahead of the node
+            ahead = sign * (-F.col("lx") * F.cos(f"i_{s}") * node_y + F.col("ly") * F.cos(f"i_{s}") * node_x + F.col("lz") * F.sin(f"i_{s}"))
+            out[f"nu{end}_{s}"] = F.atan2(ahead, along) - F.col(f"w_{s}")
+    return rows.withColumns(out)
+
+
+def ends_apart(end: int, reach_km: float) -> Column:
+    """Whether the radii of both orbits over their arcs around an end of the line stay more than reach_km apart."""
+    low, high = {}, {}
+    for s in "ab":
+        rp, ra, nu, arc = (F.col(f"{c}_{s}") for c in ("rp", "ra", f"nu{end}", "arc"))
         e, p = (ra - rp) / (ra + rp), 2 * ra * rp / (ra + rp)
-        off = F.abs(anomaly - 2 * F.pi() * F.round(anomaly / (2 * F.pi())))  # from perigee, 0 to pi
-        low = p / (1 + e * F.cos(F.greatest(F.lit(0.0), off - arc)))
-        high = p / (1 + e * F.cos(F.least(F.pi(), off + arc)))
-        return low, high
+        off = F.abs(nu - 2 * F.pi() * F.round(nu / (2 * F.pi())))  # from perigee, 0 to pi
+        low[s] = p / (1 + e * F.cos(F.greatest(F.lit(0.0), off - arc)))
+        high[s] = p / (1 + e * F.cos(F.least(F.pi(), off + arc)))
+    return (low["a"] - high["b"] > reach_km) | (low["b"] - high["a"] > reach_km)
 
-    apart = []
-    for side in (1, -1):
-        (low_a, high_a), (low_b, high_b) = radii("a", side), radii("b", side)
-        apart.append((low_a - high_b > reach_km) | (low_b - high_a > reach_km))
-    return rows.filter(~(apart[0] & apart[1])).select(*PAIR)
 
+def orbit_path_filter(pairs: DataFrame, elements: DataFrame, reach_km: float) -> DataFrame:
+    """Pairs whose orbits as fixed ellipses may come within reach_km of each other.
 
-def coarse_filter(objects: DataFrame, states: DataFrame, threshold_km: float, margin_km: float = BAND_MARGIN_KM) -> DataFrame:
-    """Band prefilter, then the cells; pairs with their least sampled distance."""
-    return cell_pairs(states, threshold_km).join(margin_pairs(objects, margin_km), list(PAIR), "left_semi")
+    elements: norad_id, perigee_km, apogee_km, inclination_deg, raan_deg,
+    arg_perigee_deg. A pair goes only if the radii over the arcs around the
+    planes' common line stay apart at both of its ends. It never drops orbits
+    that meet; precession is not in it.
+    """
+    rows = on_common_lines(pairs, elements, reach_km)
+    return rows.filter(~(ends_apart(1, reach_km) & ends_apart(2, reach_km))).select(*PAIR)
+
+
+def mean_anomaly(nu: Column, rp: Column, ra: Column) -> Column:
+    """The mean anomaly of a true anomaly, both running on over full turns."""
+    turns = F.round(nu / (2 * F.pi()))
+    off, e = nu - turns * 2 * F.pi(), (ra - rp) / (ra + rp)
+    eccentric = 2 * F.atan2(F.sqrt(1 - e) * F.sin(off / 2), F.sqrt(1 + e) * F.cos(off / 2))
+    return eccentric - e * F.sin(eccentric) + turns * 2 * F.pi()
+
+
+def path_windows(pairs: DataFrame, elements: DataFrame, reach_km: float, start_s: float, hours: float, pad_s: float = 1.0) -> DataFrame:
+    """The stretches of time in which the objects of a pair may be within reach_km of each other: from_s, to_s, several rows a pair.
+
+    elements: those of orbit_path_filter, mean_anomaly_deg and epoch_s, when it
+    holds (unix seconds). While two objects are near each other, both pass an
+    end of their planes' common line; a stretch is where a passage of one
+    overlaps one of the other at the same end, widened by pad_s on either side
+    and cut to the window. Passages are counted, not joined: those of the
+    secondary that a passage of the primary may meet follow from the periods.
+    Ends where the radii stay apart have none, and a pair whose planes are
+    close to each other has the whole window. On fixed ellipses no
+    approach is lost; pad_s has to cover what drag and precession move.
+    """
+    end_s = start_s + hours * 3600
+    rows = on_common_lines(pairs, elements, reach_km)
+    axis = lambda s: (F.col(f"rp_{s}") + F.col(f"ra_{s}")) / 2
+    rows = rows.withColumns({f"n_{s}": F.sqrt(F.lit(MU_KM3_S2) / (axis(s) * axis(s) * axis(s))) for s in "ab"}).withColumns({f"turn_{s}": 2 * F.pi() / F.col(f"n_{s}") for s in "ab"})
+    passage = lambda s, end, sign: F.col(f"at_{s}") + (mean_anomaly(F.col(f"nu{end}_{s}") + sign * F.col(f"arc_{s}"), F.col(f"rp_{s}"), F.col(f"ra_{s}")) - F.col(f"m_{s}")) / F.col(f"n_{s}") + sign * pad_s
+    whole = F.col("arc_a") >= F.pi()
+    ends = F.array(*(F.struct(F.lit(e).alias("end"), (~ends_apart(e, reach_km) & (F.lit(e == 1) | ~whole)).alias("meets"), *(passage(s, e, g).alias(f"{n}_{s}") for s in "ab" for g, n in ((-1, "lo"), (1, "hi")))) for e in (1, 2)))
+    each = rows.select(*PAIR, whole.alias("whole"), "turn_a", "turn_b", F.inline(ends)).filter("meets")
+    turns = F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.ceil((start_s - F.col("hi_a")) / F.col("turn_a")), F.greatest(F.ceil((start_s - F.col("hi_a")) / F.col("turn_a")), F.floor((end_s - F.col("lo_a")) / F.col("turn_a")))))
+    own = each.withColumn("k", F.explode(turns)).withColumns({"x": F.when(F.col("whole"), F.lit(start_s)).otherwise(F.col("lo_a") + F.col("k") * F.col("turn_a")), "y": F.when(F.col("whole"), F.lit(end_s)).otherwise(F.col("hi_a") + F.col("k") * F.col("turn_a"))})
+    first = F.ceil((F.col("x") - F.col("hi_b")) / F.col("turn_b"))
+    other = F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(first, F.greatest(first, F.floor((F.col("y") - F.col("lo_b")) / F.col("turn_b")))))
+    met = own.withColumn("j", F.explode(other))
+    low = F.when(F.col("whole"), F.col("x")).otherwise(F.greatest(F.lit(start_s), F.col("x"), F.col("lo_b") + F.col("j") * F.col("turn_b")))
+    high = F.when(F.col("whole"), F.col("y")).otherwise(F.least(F.lit(end_s), F.col("y"), F.col("hi_b") + F.col("j") * F.col("turn_b")))
+    return met.select(*PAIR, low.alias("from_s"), high.alias("to_s")).filter("from_s <= to_s")
+
+
+def window_separations(windows: DataFrame, states: DataFrame, start_s: float, step_s: int, threshold_km: float) -> DataFrame:
+    """Pairs that come within the threshold at some sample of their windows, with their least distance there.
+
+    states: norad_id, step (start_s is step 0), x, y, z. Only the steps in a
+    pair's windows are looked up, by equi-joins on object and step.
+    """
+    first, last = F.ceil((F.col("from_s") - start_s) / step_s).cast("int"), F.floor((F.col("to_s") - start_s) / step_s).cast("int")
+    asked = windows.select(*PAIR, F.explode(F.when(first <= last, F.sequence(first, last))).alias("step"))
+    a, b = (states.select(F.col("norad_id").alias(i), "step", *(F.col(c).alias(f"{c}_{s}") for c in "xyz")) for i, s in zip(PAIR, "ab", strict=True))
+    d2 = sum((F.col(f"{c}_b") - F.col(f"{c}_a")) * (F.col(f"{c}_b") - F.col(f"{c}_a")) for c in "xyz")
+    near = asked.join(a, [PAIR[0], "step"]).join(b, [PAIR[1], "step"]).select(*PAIR, d2.alias("d2")).filter(F.col("d2") <= threshold_km**2)
+    return near.groupBy(*PAIR).agg(F.sqrt(F.min("d2")).alias("min_separation_km"))
+
+
+def coarse_filter(objects: DataFrame, states: DataFrame, elements: DataFrame, threshold_km: float, start_s: float, hours: float, step_s: int, margin_km: float = BAND_MARGIN_KM, pad_s: float = 1.0) -> DataFrame:
+    """Band prefilter, orbit paths and their time windows, then samples in these windows only; pairs with their least sampled distance.
+
+    elements: as path_windows takes them; they must describe the states' orbits.
+    """
+    windows = path_windows(margin_pairs(objects, margin_km), elements, threshold_km, start_s, hours, pad_s)
+    return window_separations(windows, states, start_s, step_s, threshold_km)
 
 
 def funnel_rates(counts: DataFrame) -> DataFrame:

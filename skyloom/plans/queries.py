@@ -257,7 +257,36 @@ def spatial_cells(spark, sf_dir):
  SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, round(d, 4) min_separation_km FROM c JOIN obj a ON a.norad_id = pid JOIN obj b ON b.norad_id = sid WHERE d <= 300 AND {BAND.format(p="25")}"""
 )
 def coarse_filter(spark, sf_dir):
-    return funnel.coarse_filter(synthetic.objects(spark, sf_dir), states(spark, sf_dir), 300.0).withColumn("min_separation_km", F.round("min_separation_km", 4))
+    found = funnel.coarse_filter(synthetic.objects(spark, sf_dir), states(spark, sf_dir), circles(spark, sf_dir), 300.0, 0.0, 2, 60)
+    return found.withColumn("min_separation_km", F.round("min_separation_km", 4))
+
+
+#: Arcs around the ends of the planes' common line of pairs in band, as circles, and the passages of them in 2 h.
+WINDOWS = f"""{OBJ}, orb AS (SELECT *, 6378.137::DOUBLE + (perigee_km + apogee_km) / 2 r, sqrt(398600.4418::DOUBLE / pow(6378.137::DOUBLE + (perigee_km + apogee_km) / 2, 3)) n, radians(u0_deg) u0, radians(raan_deg) om, radians(inclination_deg) inc FROM obj),
+ nrm AS (SELECT *, sin(om) * sin(inc) nx, -cos(om) * sin(inc) ny, cos(inc) nz FROM orb),
+ lin AS (SELECT a.norad_id pid, b.norad_id sid, a.r ra, b.r rb, a.n na, b.n nb, a.u0 ua, b.u0 ub, a.om oa, b.om ob, a.inc ia, b.inc ib, a.ny * b.nz - a.nz * b.ny lx, a.nz * b.nx - a.nx * b.nz ly, a.nx * b.ny - a.ny * b.nx lz FROM nrm a JOIN nrm b ON {BAND.format(p="100")}),
+ arc AS (SELECT *, sqrt(lx*lx + ly*ly + lz*lz) tilt, least(ra, rb) * sqrt(lx*lx + ly*ly + lz*lz) * 0.7::DOUBLE > 100 narrow FROM lin),
+ pas AS (SELECT pid, sid, 2 * pi() / na pa, 2 * pi() / nb pb,
+  (atan2(g * (-lx * cos(ia) * sin(oa) + ly * cos(ia) * cos(oa) + lz * sin(ia)), g * (lx * cos(oa) + ly * sin(oa))) - ua) / na ca, asin(100 / (ra * tilt)) / na + 1 wa,
+  (atan2(g * (-lx * cos(ib) * sin(ob) + ly * cos(ib) * cos(ob) + lz * sin(ib)), g * (lx * cos(ob) + ly * sin(ob))) - ub) / nb cb, asin(100 / (rb * tilt)) / nb + 1 wb
+  FROM arc, (VALUES (1), (-1)) e(g) WHERE narrow AND abs(ra - rb) <= 100),
+ hit AS (SELECT pid, sid, greatest(0.0, ca + i * pa - wa, cb + j * pb - wb) f, least(7200.0, ca + i * pa + wa, cb + j * pb + wb) t FROM pas, range(-2, 5) x(i), range(-2, 5) y(j)),
+ win AS (SELECT pid, sid, f, t FROM hit WHERE f <= t UNION ALL SELECT pid, sid, 0.0, 7200.0 FROM arc WHERE NOT narrow AND abs(ra - rb) <= 100)"""
+
+
+def circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orbits of states as elements: circles of mean altitude, at 0 s at their argument of latitude."""
+    mean = (F.col("perigee_km") + F.col("apogee_km")) / 2
+    return synthetic.objects(spark, sf_dir).select(
+        "norad_id", mean.alias("perigee_km"), mean.alias("apogee_km"), "inclination_deg", "raan_deg", F.col("u0_deg").alias("arg_perigee_deg"), F.lit(0.0).alias("mean_anomaly_deg"), F.lit(0.0).alias("epoch_s")
+    )
+
+
+@query(f"WITH {WINDOWS} SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, count(*) n_windows, round(sum(t - f), 3) near_s FROM win GROUP BY ALL")
+def path_windows(spark, sf_dir):
+    """How long in 2 h, and how often, each pair in band may be within 100 km."""
+    windows = funnel.path_windows(funnel.band_pairs(synthetic.objects(spark, sf_dir)), circles(spark, sf_dir), 100.0, 0.0, 2)
+    return windows.groupBy("primary_norad_id", "secondary_norad_id").agg(F.count("*").alias("n_windows"), F.round(F.sum(F.col("to_s") - F.col("from_s")), 3).alias("near_s"))
 
 
 IDS = "pid::INT primary_norad_id, sid::INT secondary_norad_id"

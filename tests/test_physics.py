@@ -262,3 +262,33 @@ def test_runaway_paths_stand_in_few_cells():
         assert set(segment) == set(range(199)) and len(segment) <= 199 + 64 * 64
     near = screening.cells_of(np.array([[7000, 0, 0], [7000, 400, 0]], np.float32), 22.0, 4000.0)
     assert len(near[0]) == 1
+
+
+def test_no_approach_is_outside_the_windows(spark):
+    """Kepler orbits, eccentric and nearly coplanar ones too, against a dense grid: near each other only inside a window."""
+    rng = np.random.default_rng(21)
+    n, reach, hours = 30, 120.0, 6.0
+    peri = 400 + 400 * rng.random(n)
+    rows = [(k, float(peri[k]), float(peri[k] + 900 * rng.random() * (k % 3)), float(180 * rng.random()) if k % 5 else 50.0 + k / 50, float(360 * rng.random()) if k % 5 else 10.0, float(360 * rng.random()), float(360 * rng.random()), float(1000 * rng.random())) for k in range(n)]
+    el = spark.createDataFrame(rows, "norad_id int, perigee_km double, apogee_km double, inclination_deg double, raan_deg double, arg_perigee_deg double, mean_anomaly_deg double, epoch_s double")
+    pairs = spark.createDataFrame([(i, j) for i in range(n) for j in range(i + 1, n)], "primary_norad_id int, secondary_norad_id int")
+    windows = funnel.path_windows(pairs, el, reach, 500.0, hours).toPandas()
+    t = np.arange(500.0, 500 + hours * 3600 + 1, 5.0)
+    at = []
+    for _, p, a, i, o, w, m, epoch in rows:
+        rp, ra = p + 6378.137, a + 6378.137
+        axis, e = (rp + ra) / 2, (ra - rp) / (ra + rp)
+        mean = np.deg2rad(m) + np.sqrt(398600.4418 / axis**3) * (t - epoch)
+        big = mean.copy()
+        for _ in range(30):
+            big = big - (big - e * np.sin(big) - mean) / (1 - e * np.cos(big))
+        nu, r = 2 * np.arctan2(np.sqrt(1 + e) * np.sin(big / 2), np.sqrt(1 - e) * np.cos(big / 2)), axis * (1 - e * np.cos(big))
+        u, i, o = nu + np.deg2rad(w), np.deg2rad(i), np.deg2rad(o)
+        at.append(np.stack([r * (np.cos(o) * np.cos(u) - np.sin(o) * np.sin(u) * np.cos(i)), r * (np.sin(o) * np.cos(u) + np.cos(o) * np.sin(u) * np.cos(i)), r * np.sin(u) * np.sin(i)], 1))
+    seen = 0
+    for i, j in ((i, j) for i in range(n) for j in range(i + 1, n)):
+        near = t[np.linalg.norm(at[i] - at[j], axis=1) <= reach]
+        own = windows[(windows.primary_norad_id == i) & (windows.secondary_norad_id == j)]
+        seen += len(near)
+        assert all(((own.from_s <= x) & (x <= own.to_s)).any() for x in near)
+    assert seen and (windows.to_s - windows.from_s).sum() < 0.1 * len(pairs.collect()) * hours * 3600
