@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skyloom import constants as K
 from skyloom.functions import display, scoring, tle
 from skyloom.operators import catalog, events, funnel
+from skyloom.operators import states as vectors
 from skyloom.operators import tracks as paths
 from skyloom.plans import synthetic
 from skyloom.plans.synthetic import NOW, table
@@ -239,6 +240,31 @@ def two_body_ephemeris(spark, sf_dir):
     return states(spark, sf_dir).select("norad_id", "step", *(F.round(c, 4).alias(c) for c in "xyz"), *(F.round(c, 6).alias(c) for c in ("vx", "vy", "vz")))
 
 
+GMST = "radians((67310.54841::DOUBLE + 3164400184.812866::DOUBLE * c + 0.093104::DOUBLE * c * c - 6.2e-6::DOUBLE * c * c * c) / 240 % 360)"
+
+
+@query(
+    f"""WITH {STATES}, g AS (SELECT *, ((1704067200.0::DOUBLE + step * 60) / 86400 - 10957.5) / 36525 c FROM xyz), a AS (SELECT *, {GMST} th, 3164400184.812866::DOUBLE / 240 / 36525 / 86400 * pi() / 180 w FROM g),
+ f AS (SELECT *, cos(th) * x + sin(th) * y fx, cos(th) * y - sin(th) * x fy FROM a)
+ SELECT norad_id::INT norad_id, step::INT step, round(fx, 3) x, round(fy, 3) y, round(z, 3) z, round(cos(th) * vx + sin(th) * vy + w * fy, 5) vx, round(cos(th) * vy - sin(th) * vx - w * fx, 5) vy, round(vz, 5) vz FROM f"""
+)
+def earth_fixed_states(spark, sf_dir):
+    """The two-body states, from the first instant of 2024 on, seen from the turning Earth."""
+    rows = states(spark, sf_dir).withColumns({"frame": F.lit("TEME"), "t_s": F.lit(EPOCH_2024) + F.col("step") * 60})
+    return vectors.to_frame(rows, "ITRF").select("norad_id", "step", *(F.round(c, 3).alias(c) for c in "xyz"), *(F.round(c, 5).alias(c) for c in ("vx", "vy", "vz")))
+
+
+@query(
+    f"""WITH {OBJ}, o AS (SELECT norad_id, step * 60.0::DOUBLE t, (6378.137::DOUBLE + (perigee_km + apogee_km) / 2) * sin(radians(u0_deg) + sqrt(398600.4418::DOUBLE / pow(6378.137::DOUBLE + (perigee_km + apogee_km) / 2, 3)) * (step * 60)) * sin(radians(inclination_deg)) z FROM obj, range(0, 721) g(step)),
+ l AS (SELECT *, lag(z) OVER w z0 FROM o WINDOW w AS (PARTITION BY norad_id ORDER BY t)), c AS (SELECT norad_id, t - 60 - z0 / (z - z0) * 60 cross_s FROM l WHERE z0 < 0 AND z >= 0)
+ SELECT norad_id::INT norad_id, round(cross_s, 3) at_s, round(cross_s - lag(cross_s) OVER (PARTITION BY norad_id ORDER BY cross_s), 3) period_s FROM c"""
+)
+def node_passages(spark, sf_dir):
+    """Passages of the two-body states up through the equator in 12 h, and the time since the one before."""
+    rows = funnel.circular_states(synthetic.objects(spark, sf_dir), 12, 60).withColumn("t_s", F.col("step") * 60.0)
+    return vectors.node_passages(rows).select("norad_id", F.round("at", 3).alias("at_s"), F.round("since", 3).alias("period_s"))
+
+
 @query(f"WITH {REL} SELECT pid::INT primary_norad_id, sid::INT secondary_norad_id, round(sqrt(min(dx*dx + dy*dy + dz*dz)), 4) min_separation_km FROM rel GROUP BY ALL")
 def pair_min_separation(spark, sf_dir):
     return paths.min_separation(tracks(spark, sf_dir)).select("primary_norad_id", "secondary_norad_id", F.round("min_separation_km", 4).alias("min_separation_km"))
@@ -713,6 +739,24 @@ def sgp4_ephemeris(spark, sf_dir):
     return screening.ephemeris(parsed(spark, sf_dir), EPOCH_2024, SCREENING_HOURS, 60)
 
 
+@query()
+def perigee_passages(spark, sf_dir):
+    """Perigee passages of the catalogue in 72 h, and the time since the one before."""
+    from skyloom.operators import screening
+
+    eph = screening.ephemeris(parsed(spark, sf_dir), EPOCH_2024, SCREENING_HOURS, 60)
+    return vectors.perigee_passages(vectors.samples_of(eph, EPOCH_2024, 60))
+
+
+@query()
+def sql_ephemeris(spark, sf_dir):
+    """Positions of the catalogue every 5 minutes of a day, from SQL."""
+    vectors.register_functions(spark)
+    elements = parsed(spark, sf_dir).filter("parse_error is null").withColumn("epoch_s", F.unix_micros("epoch") / 1e6)
+    call = "ephemeris(c.mean_motion, c.eccentricity, c.inclination_deg, c.raan_deg, c.arg_perigee_deg, c.mean_anomaly_deg, c.bstar, c.epoch_s, {start}, 24.0D, 300)"
+    return spark.sql(f"SELECT c.norad_id, e.* FROM {{elements}} c, LATERAL {call} e", elements=elements, start=EPOCH_2024)
+
+
 @query()
 def ground_track(spark, sf_dir):
     from skyloom.operators import screening
