@@ -14,7 +14,7 @@ from skyloom.operators import states as vectors
 from skyloom.operators import tracks as paths
 from skyloom.plans import synthetic
 from skyloom.plans.synthetic import NOW, table
-from skyloom.sources import snapshots, store
+from skyloom.sources import checks, pages, snapshots, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -547,6 +547,14 @@ def event_filters(spark, sf_dir):
     return event_columns(events.filter_events(ev(spark, sf_dir), "AMBER", day("1996-01-01"), day("1998-01-01"), 0.5, True))
 
 
+@query(f"WITH {EV} SELECT {EVENT_COLS} FROM ev ORDER BY epoch(tca)::BIGINT, event_no LIMIT 500 OFFSET 4000")
+def deep_page(spark, sf_dir):
+    """A page far down, from events that are kept in order with the counts of their files."""
+    rows, path, order = event_columns(ev(spark, sf_dir)), store.work_folder(spark, "pages"), ("tca_s", "event_no")
+    pages.write_pages(rows, path, order)
+    return pages.read_page(spark, path, rows.schema, order, limit=500, offset=4000)
+
+
 @query(f"WITH {EV} SELECT {EVENT_COLS} FROM ev WHERE tier IN ('RED', 'AMBER') AND score >= 0.45 AND tca <= TIMESTAMP '1996-06-01' + INTERVAL 72 HOUR")
 def view_filter(spark, sf_dir):
     return event_columns(events.view_filter(ev(spark, sf_dir), F.to_timestamp(F.lit("1996-06-01")), ("RED", "AMBER"), 72.0, 0.45))
@@ -720,6 +728,35 @@ def diagnostic_sniff(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", catalog.is_diagnostic(body).alias("diagnostic"))
 
 
+LINE_SCHEMA = {
+    "type": "object",
+    "additionalProperties": False,
+    "required": ["line", "part", "shipped"],
+    "properties": {
+        "line": {"type": "integer", "minimum": 2},
+        "part": {"$ref": "#/definitions/part"},
+        "shipped": {"type": "string", "format": "date-time"},
+        "flag": {"type": "string", "enum": ["A", "R"]},
+        "discount": {"type": "number", "exclusiveMaximum": 0.1},
+    },
+    "definitions": {"part": {"type": "object", "required": ["key"], "properties": {"key": {"type": "integer", "maximum": 1000}, "mode": {"type": "string", "pattern": "^[RA]"}}}},
+}
+BAD_LINE = """concat_ws('; ', CASE WHEN l_suppkey % 7 = 0 THEN '<root>: lacks shipped' END, CASE WHEN l_partkey % 5 = 0 THEN '<root>: unknown field extra' END, CASE WHEN l_discount >= 0.1 THEN 'discount: not below 0.1' END,
+ CASE WHEN l_returnflag NOT IN ('A', 'R') THEN 'flag: not one of A, R' END, CASE WHEN l_linenumber < 2 THEN 'line: less than 2' END, CASE WHEN l_partkey > 1000 THEN 'part.key: more than 1000' END,
+ CASE WHEN l_linestatus <> 'R' THEN 'part.mode: does not match ^[RA]' END)"""
+
+
+@query(f"SELECT l_orderkey * 100 + l_linenumber line_no, {BAD_LINE} bad FROM lineitem")
+def schema_violations(spark, sf_dir):
+    """The lines of orders as JSON records, against a schema that many of them break."""
+    line = table(spark, sf_dir, "lineitem")
+    shipped = F.when(F.col("l_suppkey") % 7 != 0, F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    part = F.struct(F.col("l_partkey").alias("key"), F.col("l_linestatus").alias("mode"))
+    extra = F.when(F.col("l_partkey") % 5 == 0, F.lit(1))
+    record = F.to_json(F.struct(F.col("l_linenumber").alias("line"), part.alias("part"), shipped.alias("shipped"), F.col("l_returnflag").alias("flag"), F.col("l_discount").alias("discount"), extra.alias("extra")))
+    return line.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("line_no"), F.concat_ws("; ", checks.compile_schema(LINE_SCHEMA, record)).alias("bad"))
+
+
 # --- rows only -----------------------------------------------------------------------------------
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +16,16 @@ from skyloom.schemas import CATALOG_SCHEMA, EVENT_SCHEMA, RUN_SCHEMA
 TABLES = {"objects": CATALOG_SCHEMA, "screening_runs": RUN_SCHEMA, "conjunctions": EVENT_SCHEMA}
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name below spark.checkpoint.dir, which driver and executors share; without it, and on this machine only, in the temporary folder."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + os.path.join(tempfile.gettempdir(), "skyloom-checkpoints")
+    return f"{where.rstrip('/')}/skyloom/{name}-{uuid.uuid4().hex}"
+
+
 def upsert(current: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
     """current with incoming rows put in by key; of several incoming rows the last by order wins."""
     by = Window.partitionBy(key).orderBy(F.desc(order))
