@@ -32,31 +32,32 @@ def compile_schema(schema: dict, raw: Column) -> Column:
     file. A keyword, format or type that is not known here raises at once, so
     nothing is taken as valid because it was not looked at.
     """
-    whole = F.try_parse_json(raw)
-    found: list[Column] = []
+    none = F.array().cast("array<struct<path:string,text:string>>")
+
+    def look(rule: dict | bool, value: Column, path: str, depth: int) -> Column:
+        """The violations of a rule in a value that is there; nulls among them."""
+        found: list[Column] = [none]
 
-    def tell(path: str, failed: Column, message: str) -> None:
-        found.append(F.array(F.when(failed, F.struct(F.lit(path).alias("path"), F.lit(f"{path or '<root>'}: {message}").alias("text")))))
+        def tell(path: str, failed: Column, message: str) -> None:
+            found.append(F.array(F.when(failed, F.struct(F.lit(path).alias("path"), F.lit(f"{path or '<root>'}: {message}").alias("text")))))
 
-    def look(rule: dict | bool, value: Column, path: str, there: Column, depth: int) -> None:
         if rule is True or rule == {}:
-            return
+            return none
         if rule is False:
-            tell(path, there, "not allowed")
-            return
+            tell(path, F.lit(True), "not allowed")
+            return F.flatten(F.array(*found))
         if "$ref" in rule:
             if depth >= DEEPEST or not rule["$ref"].startswith("#"):
                 raise ValueError(f"reference {rule['$ref']!r} at {path or '<root>'}")
             target = schema
             for step in rule["$ref"].lstrip("#").strip("/").split("/"):
                 target = target[step.replace("~1", "/").replace("~0", "~")] if step else target
-            look(target, value, path, there, depth + 1)  # draft-07: what stands beside a reference counts for nothing
-            return
+            return look(target, value, path, depth + 1)  # draft-07: what stands beside a reference counts for nothing
         if unknown := rule.keys() - KNOWN - SILENT:
             raise ValueError(f"keywords {sorted(unknown)} at {path or '<root>'}")
         kind = F.schema_of_variant(value)
         number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
-        is_ = lambda t: there & kind.rlike(TYPES[t][0]) & ((number % 1 == 0) if t == "integer" else F.lit(True))
+        is_ = lambda t: kind.rlike(TYPES[t][0]) & ((number % 1 == 0) if t == "integer" else F.lit(True))
         if "type" in rule:
             kinds = [rule["type"]] if isinstance(rule["type"], str) else list(rule["type"])
             if not set(kinds) <= TYPES.keys():
@@ -64,12 +65,12 @@ def compile_schema(schema: dict, raw: Column) -> Column:
             ok = F.lit(False)
             for t in kinds:
                 ok = ok | is_(t)
-            tell(path, there & ~ok, "not " + " or ".join(TYPES[t][1] for t in kinds))
+            tell(path, ~ok, "not " + " or ".join(TYPES[t][1] for t in kinds))
         allowed = rule.get("enum", [rule["const"]] if "const" in rule else None)
         if allowed is not None:
             if not all(isinstance(a, str) for a in allowed):
                 raise ValueError(f"values that are not strings at {path or '<root>'}")
-            tell(path, there & ~(kind.rlike(TYPES["string"][0]) & F.coalesce(text.isin(*allowed), F.lit(False))), "not one of " + ", ".join(allowed))
+            tell(path, ~(kind.rlike(TYPES["string"][0]) & F.coalesce(text.isin(*allowed), F.lit(False))), "not one of " + ", ".join(allowed))
         bounds = {"minimum": (number < rule.get("minimum"), "less than"), "maximum": (number > rule.get("maximum"), "more than"), "exclusiveMinimum": (number <= rule.get("exclusiveMinimum"), "not above"), "exclusiveMaximum": (number >= rule.get("exclusiveMaximum"), "not below")}
         for word, (failed, message) in bounds.items():
             if word in rule:
@@ -92,15 +93,18 @@ def compile_schema(schema: dict, raw: Column) -> Column:
         if extra is False:
             others = F.array_except(F.coalesce(F.json_object_keys(F.to_json(value)), F.array().cast("array<string>")), F.array(*map(F.lit, inside)).cast("array<string>"))
             named = F.transform(others, lambda k: F.struct(F.lit(path).alias("path"), F.concat(F.lit(f"{path or '<root>'}: unknown field "), k).alias("text")))
-            found.append(F.when(is_("object"), named))
+            found.append(F.coalesce(F.when(is_("object"), named), none))
         elif extra is not True:
             raise ValueError(f"additionalProperties with a schema at {path or '<root>'}")
         for name, own in inside.items():
             below = F.try_variant_get(value, f"$['{name}']", "variant")
-            look(own, below, f"{path}.{name}" if path else name, is_("object") & below.isNotNull(), depth + 1)
+            found.append(bound(F.when(is_("object"), below), own, f"{path}.{name}" if path else name, depth + 1, none))
+        return F.flatten(F.array(*found))
 
-    look(schema, whole, "", whole.isNotNull(), 0)
-    tell("", whole.isNull(), "not JSON")
-    none = F.array().cast("array<struct<path:string,text:string>>")
-    listed = F.filter(F.flatten(F.array(none, *(F.coalesce(x, none) for x in found))), lambda v: v.isNotNull())
+    def bound(value: Column, rule: dict | bool, path: str, depth: int, absent: Column) -> Column:
+        """look at a value that is worked out once, as a lambda's variable, for all its checks; absent where it is null."""
+        return F.element_at(F.transform(F.array(value), lambda v: F.when(v.isNull(), absent).otherwise(look(rule, v, path, depth))), 1)
+
+    broken = F.array(F.struct(F.lit("").alias("path"), F.lit("<root>: not JSON").alias("text")))
+    listed = F.filter(bound(F.try_parse_json(raw), schema, "", 0, broken), lambda v: v.isNotNull())
     return F.transform(F.array_sort(listed), lambda v: v["text"])
