@@ -51,6 +51,8 @@ PAIR_LIFT = 4.0
 #: The clearest terms, beside which others are looked for.
 PAIR_TERMS = 64
 STEPS = 800
+#: Numbers of the dense matrix of texts and frequent terms in training.
+DENSE_CELLS = 8_000_000
 
 
 class Machine(NamedTuple):
@@ -94,6 +96,49 @@ def flat(share: float) -> Machine:
     return Machine(np.full(1 << TABLE_BITS, -1, np.int32), bias, np.zeros(1), np.zeros((1, FACTORS)))
 
 
+class Incidence:
+    """Which texts have which terms, for sums over a text's terms and over a term's texts.
+
+    The terms that most texts have are columns of a dense matrix of at most
+    DENSE_CELLS numbers; the other pairs are kept in the order of texts and in
+    that of terms, so that either sum is of neighbouring rows.
+    """
+
+    def __init__(self, doc: np.ndarray, term: np.ndarray, n: int, n_terms: int):
+        self.n, self.n_terms = n, n_terms
+        often = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[: DENSE_CELLS // max(1, n)]
+        column = np.full(n_terms, -1, np.int64)
+        column[often] = np.arange(len(often))
+        own = column[term] >= 0
+        self.often, self.dense = often, np.zeros((n, len(often)))
+        self.dense[doc[own], column[term[own]]] = 1
+        doc, term = doc[~own], term[~own]
+        by_term = np.argsort(term, kind="stable")
+        self.by_doc, self.by_term = (self.runs(doc, term), self.runs(term[by_term], doc[by_term]))
+
+    @staticmethod
+    def runs(to: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
+        return to[starts], starts, of
+
+    @staticmethod
+    def add(out: np.ndarray, rows: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        to, starts, of = runs
+        if len(to):
+            out[to] += np.add.reduceat(rows[of], starts, 0)
+        return out
+
+    def over_terms(self, rows: np.ndarray) -> np.ndarray:
+        """For each text the sum of its terms' rows."""
+        return self.add(self.dense @ rows[self.often], rows, self.by_doc)
+
+    def over_texts(self, rows: np.ndarray) -> np.ndarray:
+        """For each term the sum of its texts' rows."""
+        out = np.zeros((self.n_terms, rows.shape[1]))
+        out[self.often] = self.dense.T @ rows
+        return self.add(out, rows, self.by_term)
+
+
 def train(texts: list[np.ndarray], y: np.ndarray, place: np.ndarray, steps: int = STEPS) -> Machine:
     """Fit the machine to texts given as distinct numbers of kept terms; place has the number of each hashed term."""
     n1, n0 = y.sum(), len(y) - y.sum()
@@ -103,19 +148,15 @@ def train(texts: list[np.ndarray], y: np.ndarray, place: np.ndarray, steps: int
     n_terms = max(1, int(place.max()) + 1)
     bias, linear, factors = np.full(1, np.log(n1 / n0)), np.zeros(n_terms), rng.normal(0, 0.05, (n_terms, FACTORS))
     adam = Adam([bias, linear, factors], 0.1)
-    starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
+    has = Incidence(doc, term, len(y), n_terms)
     for _ in range(steps):
-        out = scores(doc, term, len(y), Machine(place, bias[0], linear, factors))
+        sums = has.over_terms(np.column_stack([factors, linear, (factors * factors).sum(1)]))
+        together = sums[:, :FACTORS]
+        out = bias[0] + sums[:, FACTORS] + 0.5 * ((together * together).sum(1) - sums[:, FACTORS + 1])
         d = (sigmoid(out) - y) / len(y)
-        g_factors = np.zeros_like(factors)
-        if len(doc):
-            together = np.zeros((len(y), FACTORS))
-            together[doc[starts]] = np.add.reduceat(factors[term], starts, 0)
-            part = d[doc, None] * (together[doc] - factors[term])
-            for k in range(FACTORS):
-                g_factors[:, k] = np.bincount(term, part[:, k], n_terms)
-        g_linear = np.bincount(term, d[doc], n_terms) + 1e-6 * linear
-        adam.go([np.array([d.sum()]), g_linear, g_factors + 1e-4 * factors])
+        back = has.over_texts(np.column_stack([d[:, None] * together, d]))
+        g_factors = back[:, :FACTORS] - back[:, FACTORS:] * factors
+        adam.go([np.array([d.sum()]), back[:, FACTORS] + 1e-6 * linear, g_factors + 1e-4 * factors])
     return Machine(place, float(bias[0]), linear, factors)
 
 
