@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from skyloom.functions import frames, sgp4
+from skyloom.operators.funnel import with_motion
 
 STATE = ("x", "y", "z", "vx", "vy", "vz")
 #: Samples of an ephemeris that are worked out at a time.
@@ -47,11 +48,34 @@ def rising_crossings(series: DataFrame, key: str, at: str, value: Column) -> Dat
     negative. Samples without a value or time are left out; of repeated times
     the least value counts. since is null for a key's first crossing.
     """
-    samples = series.select(key, F.col(at).alias("at"), value.alias("value")).filter("at is not null and value is not null").groupBy(key, "at").agg(F.min("value").alias("value"))
-    order = Window.partitionBy(key).orderBy("at")
-    steps = samples.withColumns({"at0": F.lag("at").over(order), "value0": F.lag("value").over(order)}).filter("value0 < 0 and value >= 0")
-    found = steps.select(key, (F.col("at0") - F.col("value0") / (F.col("value") - F.col("value0")) * (F.col("at") - F.col("at0"))).alias("at"))
-    return found.withColumn("since", F.col("at") - F.lag("at").over(order))
+    samples = series.select(key, F.col(at).alias("at"), value.alias("value")).filter("at is not null and value is not null")
+    # one sort, which can go to disk, and what follows streams: a table of (key, at) to aggregate by would not
+    first, order = Window.partitionBy(key).orderBy("at", "value"), Window.partitionBy(key).orderBy("at")
+    told = samples.withColumn("before", F.lag("at").over(first)).filter("before is null or before <> at").drop("before")
+    steps = told.withColumns({"at0": F.lag("at").over(order), "value0": F.lag("value").over(order)}).filter("value0 < 0 and value >= 0")
+    found = steps.withColumn("crossed", _between(F.col("at0"), F.col("value0"), F.col("at"), F.col("value")))
+    return found.withColumn("since", F.col("crossed") - F.lag("crossed").over(order)).select(key, F.col("crossed").alias("at"), "since")
+
+
+def crossings_in_row(series: Column) -> Column:
+    """rising_crossings of a row's own series, an array of (at, value) without nulls in order of time: an array of (at, since)."""
+    # bound as lambdas' variables, arrays are worked out once
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+
+    def rises(samples: Column) -> Column:
+        def rise(x: Column, i: Column) -> Column:
+            before = F.get(samples, i - 1)
+            return F.when((x["value"] >= 0) & (before["value"] < 0), _between(before["at"], before["value"], x["at"], x["value"]))
+
+        return F.array_compact(F.transform(samples, rise))
+
+    spans = lambda found: F.transform(found, lambda x, i: F.struct(x.alias("at"), (x - F.get(found, i - 1)).alias("since")))
+    return bound(bound(series, rises), spans)
+
+
+def _between(at0: Column, value0: Column, at: Column, value: Column) -> Column:
+    """When a straight line between two samples goes through zero."""
+    return at0 - value0 / (value - value0) * (at - at0)
 
 
 def samples_of(eph: DataFrame, start_s: float, step_s: int) -> DataFrame:
@@ -72,6 +96,21 @@ def node_passages(states: DataFrame, at: str = "t_s") -> DataFrame:
     return rising_crossings(states, "norad_id", at, F.col("z"))
 
 
+def circle_node_passages(objects: DataFrame, hours: float, step_s: int) -> DataFrame:
+    """node_passages of funnel.circular_states, each object's found in its own row, without a row for each sample.
+
+    objects: one orbit for each norad_id; equal rows count once.
+    """
+    n = int(hours * 3600 // step_s)
+    if n < 1 or step_s <= 0:
+        raise ValueError("the window must hold two samples at least")
+    turn = lambda c: F.col(c) * F.pi() / 180
+    orbits = with_motion(objects).select("norad_id", "r", "n", turn("u0_deg").alias("u0"), F.sin(turn("inclination_deg")).alias("si")).filter("r * n * u0 * si is not null").distinct()
+    sample = lambda step: F.struct((step * float(step_s)).alias("at"), (F.col("r") * F.sin(F.col("u0") + F.col("n") * (step * step_s)) * F.col("si")).alias("value"))
+    series = F.transform(F.sequence(F.lit(0), F.lit(n)), sample)
+    return orbits.select("norad_id", F.inline(crossings_in_row(series)))
+
+
 class _Ephemeris:
     """Rows of one element set's ephemeris; one row that says why if an argument is missing or the propagation fails."""
 
